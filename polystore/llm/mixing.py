@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ SHARE = 1.5
 MOST = 2.0
 CHUNK = 20_000
 NEAR = 1e-9
+LANDING = 10  # documents that stay out of a source's last flight and land with the two it leaves
 
 
 def targets(sizes: list[int], weights: list[float], mass: float, most: float = MOST) -> list[float]:
@@ -83,12 +85,13 @@ def flight(p: list[float], size: list[int], seed: int) -> list[float]:
 
 
 def land(p: list[float], size: list[int]) -> list[float]:
-    """Rounds the open probabilities, two at most, so that the words come closest, then the documents."""
+    """Rounds the open probabilities, a few, so that the words come closest, then the documents."""
     p = list(p)
     open_ = [i for i, x in enumerate(p) if 0 < x < 1]
-    words, count = sum(p[i] * size[i] for i in open_), sum(p[i] for i in open_)
-    choices = [[n >> k & 1 for k in range(len(open_))] for n in range(1 << len(open_))]
-    best = min(choices, key=lambda c: (abs(sum(x * size[i] for x, i in zip(c, open_, strict=True)) - words), abs(sum(c) - count), c))
+    part, weigh = np.array([p[i] for i in open_]), np.array([size[i] for i in open_], dtype=float)
+    choices = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+    words, count = np.abs(choices @ weigh - part @ weigh), np.abs(choices.sum(axis=1) - part.sum())
+    best = choices[np.lexsort((np.arange(len(choices)), count, words))[0]]
     for i, x in zip(open_, best, strict=True):
         p[i] = float(x)
     return p
@@ -109,10 +112,13 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
 
 
 def _flown(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")  # small documents come last, so landing errs little
+    pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable")
     size = [int(x) for x in pdf["size"]]
-    p = flight(list(pdf["p"]), size, int(pdf["place"].iloc[0]) * 1_000_003 + int(pdf["chunk"].iloc[0]))
-    return pdf.assign(p=land(p, size) if pdf["chunks"].iloc[0] == 1 else p)
+    p, seed = list(pdf["p"]), int(pdf["place"].iloc[0]) * 1_000_003 + int(pdf["chunk"].iloc[0])
+    if pdf["chunks"].iloc[0] > 1:
+        return pdf.assign(p=flight(p, size, seed))
+    flying = max(0, len(p) - LANDING)
+    return pdf.assign(p=land(flight(p[:flying], size[:flying], seed) + p[flying:], size))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, chunk: int = CHUNK) -> DataFrame:
