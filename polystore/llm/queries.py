@@ -7,21 +7,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from polystore.llm.byte_bpe import encode_decode
 from polystore.llm.common import documents
+from polystore.llm.imatch import fingerprint_documents
 from polystore.llm.mixing import mix
 from polystore.llm.pii import find_pii
 from polystore.llm.quality_rules import quality_rules
 from polystore.llm.simhash import near_duplicates
 from polystore.llm.token_counts import token_counts
+from polystore.llm.toxicity import toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=3)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -39,7 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_simhash, op7_byte_bpe, op8_pii, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_imatch, op3_simhash, op4_toxicity, op7_byte_bpe, op8_pii, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
