@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from polystore.llm.byte_bpe import encode_decode
 from polystore.llm.common import documents
 from polystore.llm.imatch import fingerprint_documents
+from polystore.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
+from polystore.llm.line_dedup import line_dedup
 from polystore.llm.mixing import mix
 from polystore.llm.pii import find_pii
 from polystore.llm.quality_rules import quality_rules
@@ -32,6 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -49,8 +55,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_imatch, op3_simhash, op4_toxicity, op7_byte_bpe, op8_pii, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_imatch, op3_simhash, op4_toxicity, op6_line_dedup, op7_byte_bpe, op8_pii, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": LINE_DEDUP_SQL}
