@@ -14,6 +14,7 @@ from polystore.llm.mixing import mix
 from polystore.llm.pii import find_pii
 from polystore.llm.quality_rules import quality_rules
 from polystore.llm.simhash import near_duplicates
+from polystore.llm.substring_dedup import repeated_passages
 from polystore.llm.token_counts import token_counts
 from polystore.llm.toxicity import toxicity
 
@@ -34,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_imatch, op3_simhash, op4_toxicity, op6_line_dedup, op7_byte_bpe, op8_pii, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_imatch, op3_simhash, op4_toxicity, op5_substring_dedup, op6_line_dedup, op7_byte_bpe, op8_pii, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
