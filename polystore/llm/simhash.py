@@ -30,7 +30,7 @@ from polystore.llm.components import components
 SEED = 42
 DISTANCE = 2
 SEGMENT = 32
-HOT = 32
+HOT = 8
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -70,7 +70,8 @@ LOW = (1 << SEGMENT) - 1
 
 def variants(fps: DataFrame) -> DataFrame:
     """(fp, key): the one-wildcard variants of each fingerprint; a key holds the place of the wildcard and the masked segment."""
-    rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT - 1))).alias("k"))
+    partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fps.repartition(partitions, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT - 1))).alias("k"))  # many small tasks: each row becomes 64
     masked = F.expr(f"CASE WHEN k < {SEGMENT} THEN fp & {LOW}L ELSE shiftrightunsigned(fp, {SEGMENT}) END & ~shiftleft(1L, k % {SEGMENT})")
     return rows.select("fp", F.expr(f"shiftleft(CAST(k AS BIGINT), {SEGMENT})").bitwiseOR(masked).alias("key"))
 
