@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,8 +158,6 @@ def doc_regex(spark, d):
 
 @query("SELECT p_partkey AS doc_id FROM part WHERE p_size * p_size % 7 = 2")
 def doc_udf_filter(spark, d):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def square_ends(size: pd.Series) -> pd.Series:
         return size * size % 7 == 2
