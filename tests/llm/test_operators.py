@@ -1,0 +1,411 @@
+"""Each operator against a plain version, on a small table and on hard rows."""
+
+import base64
+import hashlib
+import re
+import struct
+import zlib
+
+import public_tokenizers
+import pytest
+
+from polystore.llm import byte_bpe, imatch, line_dedup, mixing, pii, quality_rules, queries, simhash, substring_dedup, token_counts, toxicity
+from tests.llm import brute
+
+SP = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    return spark.createDataFrame(brute.hard_rows(), brute.DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], brute.DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, small):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def texts(rows):
+    return [(r[0], r[1]) for r in rows]
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+# token counts
+
+
+def test_token_counts(spark, small, docs, hard, empty):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=SP)
+    want = lambda rows: sorted(((i, len((t or "").encode()), n := len(sp.encode(t or "")), n > 4096) for i, t in rows), key=repr)
+    assert rows_of(queries.op1_token_counts(spark, small)) == want(docs)
+    assert rows_of(token_counts.token_counts(hard, SP)) == want(texts(brute.hard_rows()))
+    assert token_counts.token_counts(empty, SP).count() == 0
+
+
+def test_token_counts_of_odd_texts():
+    sp = token_counts.load(SP)
+    lengths = token_counts.Lengths(sp, token_counts.frequent_lengths(sp))
+    for text in ["", " ", "\n", "\n\n a", "a\n", "  a   b ", "▁▁x▁y", "<s></s><0x41>", "a\tb\r\nc", "日本 語\n😀", "é" * 300, "x\n" * 50 + " "]:
+        assert lengths.count(text) == len(sp.encode(text)), text
+
+
+# byte-level BPE
+
+
+def test_byte_bpe(spark, small, docs, hard, empty):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def want(rows):
+        out = []
+        for i, t in rows:
+            ids = library.encode_ordinary(t or "")
+            out.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+        return sorted(out, key=repr)
+
+    assert rows_of(queries.op7_byte_bpe(spark, small)) == want(docs)
+    assert rows_of(byte_bpe.encode_decode(hard, RANKS, public_tokenizers.PATTERN)) == want(texts(brute.hard_rows()))
+    assert byte_bpe.encode_decode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    codec = byte_bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    for text in ["a" * 5000, "it's I'LL", "\u0000\u0001", "<unk>", "  \n\n  ", "𝒳"]:
+        assert codec.encode(text) == library.encode_ordinary(text)
+        assert codec.decode(codec.encode(text)) == text.encode()
+
+
+# fingerprints
+
+
+def signatures_of(text, lexicon):
+    from xxhash import xxh64_intdigest as xx
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    terms = sorted({signed(xx(t.encode(), 42)) for t in re.split(r"[\x20\x09-\x0D]+", text.lower()) if t})
+    band = [t for t in terms if t in lexicon]
+
+    def fold(values, seed=42):
+        for v in values:
+            seed = xx(struct.pack("<q", v), seed)
+        return seed
+
+    out = [fold(band, xx(b"band", 42)) if band else fold(terms, xx(b"all", 42))]
+    for k in range(imatch.N_SUBSETS):
+        shift, mask, value = imatch._subset(k)
+        part = [t for t in band if t >> shift & mask == value]
+        out.append(fold(part) if part else None)
+    return out
+
+
+def likeness(a, b):
+    return sum(x == y and x is not None for x, y in zip(a, b, strict=True)) / sum(x is not None or y is not None for x, y in zip(a, b, strict=True))
+
+
+def check_imatch(df, rows):
+    from collections import Counter
+
+    from xxhash import xxh64_intdigest as xx
+
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    n = len(rows)
+    df_of = Counter(h for _, t in rows for h in {xx(w.encode(), 42) for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w})
+    low = max(2, -(-n // 400))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    lexicon = {signed(h) for h, c in df_of.items() if low <= c <= max(n / 10, low)}
+    said = lambda s: ":".join("-" if x is None else f"{x:016x}" for x in s)
+    want = []
+    for k, (i, t) in enumerate(rows):
+        follows = rows[(k + 1) % n][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + follows[:half]
+        own, other, after = signatures_of(t, lexicon), signatures_of(edited, lexicon), signatures_of(follows, lexicon)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), said(own), said(other), round(likeness(own, other), 9), round(likeness(own, after), 9)))
+    got = [(*r[:5], round(r[5], 9), round(r[6], 9)) for r in map(tuple, df.collect())]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_imatch(spark, small, docs, hard, empty):
+    check_imatch(queries.op2_imatch(spark, small), docs)
+    check_imatch(imatch.fingerprint_documents(hard), texts(brute.hard_rows()))
+    assert imatch.fingerprint_documents(empty).count() == 0
+    one = spark.createDataFrame([(5, "alone in the table", "x")], "doc_id bigint, text string, guest string")
+    check_imatch(imatch.fingerprint_documents(one), [(5, "alone in the table")])
+
+
+def test_imatch_is_native(spark, small):
+    plan = queries.op2_imatch(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan) and "CartesianProduct" not in plan
+
+
+# SimHash
+
+
+def check_simhash(df, rows, shingle):
+    from xxhash import xxh64_intdigest as xx
+
+    def fingerprint(text):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        if not w:
+            return 0
+        parts = [b" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)] or [b" ".join(w)]
+        hashes = [xx(p, 42) for p in parts]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    fps = [fingerprint(t) for _, t in rows]
+    roots = brute.components(fps, lambda x, y: (x ^ y).bit_count() <= 2)
+    want = sorted(((i, f"{fp:016x}", rows[r][0]) for (i, _), fp, r in zip(rows, fps, roots, strict=True)), key=repr)
+    assert rows_of(df) == want
+
+
+def test_simhash(spark, small, docs, hard, empty):
+    check_simhash(queries.op3_simhash(spark, small), docs, 3)
+    check_simhash(simhash.near_duplicates(hard, 5), texts(brute.hard_rows()), 5)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2, 8, 1000])
+def test_crowds_keep_their_links(spark, hot):
+    import random
+
+    from polystore.llm.components import components
+
+    rng = random.Random(3)
+    base, fps = rng.getrandbits(64), set()
+    while len(fps) < 150:
+        x = base
+        for _ in range(rng.randrange(5)):
+            x ^= 1 << rng.choice([1, 5, 9, 33, 40, 41, 60])
+        fps.add(x)
+        fps.add(rng.getrandbits(64)) if rng.random() < 0.3 else None
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    found = dict(map(tuple, components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), hot)).collect()))
+    roots = brute.components(signed, lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count() <= 2)
+    assert [found.get(x, x) for x in signed] == [signed[r] for r in roots]
+
+
+def test_one_of_each(hard):
+    kept = simhash.one_of_each(hard)
+    assert kept.columns == hard.columns
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"] is not None) == [1, 3, 6, 7, 8, 10, 11, 12] or kept.count() <= 10
+
+
+# toxicity
+
+
+def test_toxicity(spark, small, hard, empty):
+    rows = queries.op4_toxicity(spark, small).collect()
+    assert len(rows) == spark.read.parquet(f"{small}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    labels = spark.createDataFrame([(1, 0), (6, 1), (None, 1), (4, None)], "doc_id bigint, toxic int")
+    assert toxicity.toxicity(hard, labels).count() == len(brute.hard_rows())
+    assert toxicity.toxicity(empty, labels).count() == 0
+    assert {r["score"] for r in toxicity.toxicity(hard, labels.limit(0)).collect()} == {0.5}
+
+
+def test_toxicity_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.1"
+    found = queries.op4_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("toxic", "score").collect()
+    good, bad = [r["score"] for r in found if not r["toxic"]], [r["score"] for r in found if r["toxic"]]
+    auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad))
+    assert auc > 0.97
+
+
+# passages
+
+
+def test_passages(spark, small, docs, hard, empty):
+    from collections import defaultdict
+
+    seen = defaultdict(set)
+    for i, t in docs:
+        w = [x.lower() for x in brute.words(t)]
+        for k in range(len(w) - 49):
+            seen[tuple(w[k : k + 50])].add(i)
+    want = {i for s in seen.values() if len(s) > 1 for i in s}
+    got = queries.op5_substring_dedup(spark, small).collect()
+    assert want <= {r["doc_id"] for r in got}
+    assert len({r["doc_id"] for r in got}) <= 1.2 * len(want) + 2
+    found = {r["doc_id"]: r for r in substring_dedup.repeated_passages(hard).collect()}
+    assert set(found) == {7, 8} and found[7]["component_id"] == found[8]["component_id"] == 7
+    assert substring_dedup.repeated_passages(empty).count() == 0
+
+
+def test_passages_within_other_text(spark):
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(60)]
+    changed = list(shared)
+    changed[30] = "changed"
+    rows = [(k, " ".join([word() for _ in range(rng.randrange(30, 200))] + (shared if k % 2 else changed) + [word() for _ in range(100)])) for k in range(40)]
+    rows += [(100 + k, " ".join(word() for _ in range(200))) for k in range(20)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in got} == set(range(40))
+    assert {r["component_id"] for r in got} == {0}
+
+
+# lines
+
+
+def check_lines(df, rows):
+    gone = brute.removed_lines(rows)
+    want = []
+    for i, t in rows:
+        t = t or ""
+        cut = gone.get((i, t), {})
+        want.append((i, len(t.split("\n")), sum(not n for n in cut.values()), sum(cut.values()), ",".join(map(str, sorted(cut)))))
+    assert rows_of(df) == sorted(want, key=repr)
+
+
+def test_line_dedup(spark, small, docs, hard, empty):
+    check_lines(queries.op6_line_dedup(spark, small), docs)
+    check_lines(line_dedup.line_dedup(hard), texts(brute.hard_rows()))
+    assert line_dedup.line_dedup(empty).count() == 0
+    kept = line_dedup.without_repeated_lines(hard)
+    assert kept.columns == hard.columns and all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in kept.collect())
+
+
+def test_near_lines(spark):
+    line = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    w = line.split()
+    variants = [line, " ".join(w[:3] + w[4:]), " ".join([*w, "more"]), " ".join(["first", *w]), line.replace("lazy", "idle"), line.replace("lazy", "idle").replace("quick", "slow"), "  " + line.replace(" ", "  ") + " ", line.replace("the", "a")]
+    rows = [(k, v) for k, v in enumerate(variants)] + [(50, "short line of few words"), (51, "short line of four words"), (52, "short line of few words")]
+    check_lines(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")), rows)
+
+
+# personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def base_spans(text):
+    def luhn(digits):
+        return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15]
+
+
+def test_pii(spark, small, docs, hard, empty):
+    for df, rows in ((queries.op8_pii(spark, small), docs), (pii.find_pii(hard), texts(brute.hard_rows()))):
+        want = []
+        for i, t in rows:
+            spans = base_spans(t or "")
+            counts = [sum(s[0] == k for s in spans) for k in pii.BASE]
+            want.append((i, *counts, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()))
+        assert sorted((tuple(r)[:6] for r in df.collect()), key=repr) == sorted(want, key=repr)
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_pii_on_random_texts():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("a1.@- +()12550é\n4") for _ in range(rng.randrange(60)))
+        assert [(x.kind, x.start, x.end) for x in pii.find(text) if x.kind in pii.BASE] == base_spans(text)
+
+
+def test_pii_checks_and_context():
+    kinds = lambda text: [x.kind for x in pii.find(text)]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00 please") == ["iban"]
+    assert kinds("IBAN DE88 3704 0044 0532 0130 00 please") == []
+    assert kinds("call 212-555-0100") == ["local_phone"] and kinds("see 212-555-0100") == []
+    assert kinds("SSN 123-45-6789") == ["national_id"] and kinds("order 123-45-6789") == []
+    assert kinds("a" * 200_000 + " " + "1" * 100_000 + "@") == []
+
+
+# mixing
+
+
+def check_mix(df, rows, exact=True):
+    got = df.collect()
+    sizes = sorted((i if i is not None else -1, len(brute.words(t))) for i, t, _ in rows)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["size"]) for r in got) == sizes
+    by = {}
+    for _, t, s in rows:
+        by[s] = by.get(s, 0) + len(brute.words(t))
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    goal = mixing.targets([by[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))], 1.5 * sum(by.values()))
+    assert abs(sum(goal) - 1.5 * sum(by.values())) < 1e-6 * max(1, sum(goal)) and all(g <= 2 * by[s] + 1e-9 for g, s in zip(goal, order, strict=True))
+    for s, g in zip(order, goal, strict=True):
+        mine = [r for r in got if r["source"] == s]
+        assert all(r["source_size"] == by[s] and abs(r["target"] - g) < 1e-6 for r in mine)
+        assert all(r["size"] == 0 or r["taken"] % r["size"] == 0 for r in mine) and all(r["taken"] <= 2 * r["size"] for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - g) <= max([0, *(r["size"] for r in mine)])
+
+
+def test_mixing(spark, small, hard, empty):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    check_mix(mixing.mix(docs), rows)
+    check_mix(mixing.mix(docs, chunk=4), rows)
+    check_mix(mixing.mix(hard), [(r[0], r[1], r[3]) for r in brute.hard_rows()])
+    assert rows_of(queries.op9_mixing(spark, small)) == rows_of(queries.op9_mixing(spark, small))
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+    mixed = mixing.mixed_documents(hard)
+    assert mixed.columns == hard.columns
+    assert mixed.count() == mixing.mix(hard).agg({"copies": "sum"}).first()[0]
+
+
+def test_flight_keeps_totals():
+    import random
+
+    rng = random.Random(2)
+    for n in (1, 2, 3, 10, 3000):
+        size, p = [rng.randrange(1, 900) for _ in range(n)], [rng.random() for _ in range(n)]
+        after = mixing.flight(p, size, 7)
+        assert sum(0 < x < 1 for x in after) <= 2
+        assert abs(sum(after) - sum(p)) < 1e-6 and abs(sum(a * s for a, s in zip(after, size, strict=True)) - sum(a * s for a, s in zip(p, size, strict=True))) < 1e-3
+
+
+# quality
+
+
+def test_quality(spark, small, docs, hard, empty):
+    for df, rows in ((queries.op10_quality_rules(spark, small), docs), (quality_rules.quality_rules(hard), texts(brute.hard_rows()))):
+        want = []
+        for i, t in rows:
+            t = t or ""
+            w, lines = brute.words(t), [x for x in t.split("\n") if brute.words(x)]
+            repeated = brute.repeat_words(w)
+            failed = len(w) < 20 or 100 * repeated > 30 * len(w)
+            want.append((i, len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeated, failed))
+        got = df.collect()
+        assert sorted((tuple(r)[:7] for r in got), key=repr) == sorted(want, key=repr)
+        assert not any(r["kept"] and r["base_failed"] for r in got)
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_quality_keeps_prose_and_rejects_menus():
+    prose = "The committee met on Tuesday and agreed to publish the report, which describes how the river changed over ten years.\n" * 1 + "Nobody objected; the chair thanked everyone and closed the meeting early."
+    assert quality_rules.judge(prose)[6]
+    menu = "Home | About | Contact | Help\n" * 1 + "Accept all cookies, see our cookie policy and privacy policy for more words here\n" + "All rights reserved by the company that made this page and its parts and pieces"
+    assert not quality_rules.judge(menu)[6]
+    mixed = prose + "\nHome | About | Contact"
+    assert quality_rules.judge(mixed)[6] and "Home" not in quality_rules.judge(mixed)[8]
+
+
+@pytest.mark.parametrize("stage", ["clean_documents"])
+def test_cleaned_documents_keep_columns(hard, empty, stage):
+    kept = quality_rules.clean_documents(hard)
+    assert kept.columns == hard.columns and kept.count() > 0
+    assert quality_rules.clean_documents(empty).columns == empty.columns
