@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The stop words. Those with an apostrophe never meet a token, which has none.
 STOP_WORDS = """
@@ -78,13 +79,13 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decomposed(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition, for which Spark has no function; ASCII texts pass unchanged."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stemmed(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else stem(w))
 
