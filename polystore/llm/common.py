@@ -35,6 +35,26 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: A fixed-size filter of 64-bit keys: FILTER_BITS bits, 8 MB, in rows of 4 KB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame) -> DataFrame:
+    """The filter of the longs in the column key: (bucket, bits)."""
+    spot = F.pmod("key", F.lit(FILTER_BITS))
+    return keys.select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def maybe_in(rows: DataFrame, key: Column, there: DataFrame) -> DataFrame:
+    """Rows whose key may be in the filter: all that are, and few others while the filter isn't full."""
+    names = rows.columns
+    spot = F.pmod(key, F.lit(FILTER_BITS))
+    own = rows.withColumns({"_bucket": F.bitmap_bucket_number(spot), "_bit": F.bitmap_bit_position(spot)})
+    met = own.join(F.broadcast(there), F.col("_bucket") == F.col("bucket"))
+    byte = F.conv(F.hex(F.substring("bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, CAST(_bit % 8 AS INT))")) != 0).select(names)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[dict]], list[tuple]]], schema: str) -> DataFrame:
     """df row by row through Python in slices: make() runs once a task and returns the function of a slice.
 

@@ -9,10 +9,12 @@ every i, and the line itself. Two lines are within one edit only if a variant of
 variant of the other: both without word i (replaced), or one without word i and the other whole
 (inserted). Equal variants are met by grouping and a join on the grouped least line, never pairwise,
 and the words of the met lines are compared before one is removed. Keys of all variants of a line
-come from running sums of position hashes, so they cost time in proportion to its words.
+come from running sums of position hashes over its words.
 
 Only lines that can have a partner emit variants: an edit of one word leaves either the first or
-the last HALF words as they are, so both lines share one of these hashes. That test loses none.
+the last HALF words as they are, so both lines share one of these hashes; and it leaves all of a line
+but one quarter as it is. Neither test loses a pair. Texts of lines leave their task only if a
+bitmap of fixed size says they may be wanted.
 
 Words are runs of non-white-space, lines end at line feeds. Null texts have one empty line; a null
 doc_id comes first; rows equal in doc_id and text are one document, so they don't remove each
@@ -23,9 +25,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from polystore.llm.common import cut, text_or_empty
+from polystore.llm.common import cut, key_filter, maybe_in, text_or_empty
 
 MIN_WORDS, NEAR_WORDS, HALF = 3, 10, 5
 SPACES = " \t\x0b\x0c\r"
@@ -33,9 +34,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 BITS = 39  # of a position hash; sums of up to 2**24 of them fit a long
 
 
-def _words(line: Column) -> Column:
-    trimmed = F.btrim(line, F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+def _spaced(line: Column) -> Column:
+    """The line with one space between its words and none around them."""
+    plain = ~(F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")))
+    for c in SPACES[1:]:
+        plain = plain & ~F.contains(line, F.lit(c))
+    return F.when(plain, line).otherwise(F.btrim(F.regexp_replace(line, SPACE, " ")))
+
+
+def _at_least(spaced: Column, n: int) -> Column:
+    """Whether it has n words."""
+    return F.substring_index(spaced, " ", n - 1) != spaced
 
 
 def _order(doc_id: Column, at: Column) -> Column:
@@ -50,30 +59,54 @@ def _exploded(docs: DataFrame) -> DataFrame:
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "place": _order(F.col("doc_id"), F.col("at"))})
+    return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Every line with words: (doc_id, text_hash, at, h1, h2, place, n, head, tail); n: number of words."""
-    rows = _hashed(_exploded(docs)).withColumn("words", _words(F.col("line"))).withColumn("n", F.size("words"))
-    return rows.where(F.col("n") >= MIN_WORDS).select(
-        "doc_id", "text_hash", "at", "h1", "h2", "place", "n",
-        F.xxhash64(F.lit(0), F.slice("words", 1, HALF)).alias("head"),
-        F.xxhash64(F.lit(1), F.slice("words", F.greatest(F.lit(1), F.col("n") - HALF + 1), F.lit(HALF))).alias("tail"),
+    """Every line with words: (doc_id, text_hash, at, h1, h2, near, head, tail); near: it has words enough for an edit."""
+    rows = _hashed(_exploded(docs)).withColumn("spaced", _spaced(F.col("line")))
+    return rows.where(_at_least(F.col("spaced"), MIN_WORDS)).select(
+        "doc_id", "text_hash", "at", "h1", "h2",
+        _at_least(F.col("spaced"), NEAR_WORDS).alias("near"),
+        F.xxhash64(F.lit(0), F.substring_index("spaced", " ", HALF)).alias("head"),
+        F.xxhash64(F.lit(1), F.substring_index("spaced", " ", -HALF)).alias("tail"),
     )
 
 
+def _parts(lines: DataFrame) -> DataFrame:
+    """(place, part) of each line (place, line): hashes of its words without one quarter.
+
+    Of two lines within one edit, of n words and of n or n + 1, all quarters of n but one are equal,
+    counted from the front before it and from the back after it.
+    """
+    words, n = F.col("words"), F.size("words")
+    parts = []
+    for more in (0, 1):
+        short = n - more
+        for j in range(4):
+            low, high = F.floor(short * j / 4).cast("int"), F.floor(short * (j + 1) / 4).cast("int")
+            parts.append(F.xxhash64(F.lit(j), short, F.slice(words, F.lit(1), low), F.slice(words, high + more + 1, n - high - more)))
+    return lines.select("place", F.split("line", " ").alias("words")).select("place", F.explode(F.array(*parts)).alias("part"))
+
+
 def _variants(lines: DataFrame) -> DataFrame:
-    """(place, m, i, key) of each line (place, words): the variant without word i (i = -1: whole), of m words."""
+    """(place, i, key) of each line (place, line): the variant without word i (i = -1: whole); a key tells the words left and their number."""
     hash_at = lambda w, k: F.xxhash64(w, k).bitwiseAND(F.lit((1 << BITS) - 1))
-    each = lines.select("place", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    each = each.withColumns({"stay": hash_at(F.col("word"), F.col("i")), "move": hash_at(F.col("word"), F.col("i") - 1)})
-    own = Window.partitionBy("place")
-    before = own.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.withColumns({"stays": F.sum("stay").over(before), "moves": F.sum("move").over(before), "all_moves": F.sum("move").over(own)})
-    gone = each.select("place", (F.col("n") - 1).alias("m"), "i", (F.col("stays") - F.col("stay") + F.col("all_moves") - F.col("moves")).alias("key"))
-    whole = each.where("i = n - 1").select("place", F.col("n").alias("m"), F.lit(-1).alias("i"), F.col("stays").alias("key"))
-    return gone.union(whole)
+    sums = F.aggregate(
+        F.transform("words", lambda w, k: F.struct(hash_at(w, k).alias("stay"), hash_at(w, k - 1).alias("move"))),
+        F.expr("named_struct('stay', 0L, 'move', 0L, 'before', CAST(array() AS ARRAY<BIGINT>), 'through', CAST(array() AS ARRAY<BIGINT>))"),
+        lambda s, x: F.struct(
+            (s["stay"] + x["stay"]).alias("stay"),
+            (s["move"] + x["move"]).alias("move"),
+            F.concat(s["before"], F.array(s["stay"])).alias("before"),
+            F.concat(s["through"], F.array(s["move"] + x["move"])).alias("through"),
+        ),
+    )
+    each = lines.select("place", F.split("line", " ").alias("words")).select("place", F.size("words").alias("n"), sums.alias("sums"))
+    each = each.select("place", "n", F.col("sums.stay").alias("stay"), F.col("sums.move").alias("move"), F.posexplode(F.arrays_zip("sums.before", "sums.through")).alias("i", "x"))
+    gone = F.xxhash64(F.col("n") - 1, F.col("x.before") + F.col("move") - F.col("x.through"))
+    both = F.array(F.struct("i", gone.alias("key")), F.struct(F.lit(-1).alias("i"), F.xxhash64("n", "stay").alias("key")))
+    return each.select("place", F.inline(F.when(F.col("i") == F.col("n") - 1, both).otherwise(F.array(F.struct("i", gone.alias("key"))))))
 
 
 def _within_one_edit(a: str, b: str) -> Column:
@@ -93,35 +126,42 @@ def _within_one_edit(a: str, b: str) -> Column:
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Places of the distinct lines that an earlier line within one edit precedes."""
-    near = distinct.where(F.col("n") >= NEAR_WORDS)
-    halves = near.select("h1", "h2", "place", F.explode(F.array("head", "tail")).alias("half"))
+    halves = distinct.where("near").select("h1", "place", F.explode(F.array("head", "tail")).alias("half"))
     met = halves.groupBy("half").agg(F.count("*").alias("times")).where("times > 1").select("half")
-    able = halves.join(met, "half").select("h1", "h2", "place").distinct()
-    text = _hashed(_exploded(docs)).where(F.length("line") >= 2 * NEAR_WORDS - 1).select("h1", "h2", "place", "line")
-    lines = cut(text.join(able, ["h1", "h2", "place"], "left_semi").dropDuplicates(["place", "h1", "h2"]).select("place", _words(F.col("line")).alias("words")))
+    able = cut(halves.join(met, "half", "left_semi").select("h1", "place").distinct())
+    # only lines that may be among those leave the scan
+    text = _hashed(_exploded(docs)).where(F.length("line") >= 2 * NEAR_WORDS - 1).select("doc_id", "at", "h1", "line")
+    text = maybe_in(text, F.col("h1"), key_filter(able.select(F.col("h1").alias("key"))))
+    text = text.select("h1", _order(F.col("doc_id"), F.col("at")).alias("place"), "line")
+    lines = cut(text.join(able, ["h1", "place"], "left_semi").dropDuplicates(["place", "h1"]).select("place", _spaced(F.col("line")).alias("line")))
+    parts = _parts(lines)
+    met = parts.groupBy("part").agg(F.count("*").alias("times")).where("times > 1").select("part")
+    lines = cut(lines.join(parts.join(met, "part", "left_semi").select("place").distinct(), "place", "left_semi"))
     variants = cut(_variants(lines))
     deleted = variants.where("i >= 0")
-    same = deleted.groupBy("m", "key", "i").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")
+    same = deleted.groupBy("key", "i").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")
     both = (
-        variants.groupBy("m", "key")
+        variants.groupBy("key")
         .agg(F.min(F.when(F.col("i") < 0, F.col("place"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("place"))).alias("gone"))
         .where("whole IS NOT NULL AND gone IS NOT NULL")
     )
-    replaced = deleted.join(same.select("m", "key", "i", "first"), ["m", "key", "i"]).select("place", "first")
-    inserted = variants.join(both, ["m", "key"]).select("place", F.when(F.col("i") < 0, F.col("gone")).otherwise(F.col("whole")).alias("first"))
+    replaced = deleted.join(same.select("key", "i", "first"), ["key", "i"]).select("place", "first")
+    inserted = variants.join(both, "key").select("place", F.when(F.col("i") < 0, F.col("gone")).otherwise(F.col("whole")).alias("first"))
     met = replaced.union(inserted).where("first < place").distinct()
-    own, other = lines.select("place", F.col("words").alias("own")), lines.select(F.col("place").alias("first"), F.col("words").alias("other"))
-    return met.join(own, "place").join(other, "first").where(_within_one_edit("own", "other")).select("place").distinct()
+    own, other = lines.select("place", F.col("line").alias("own")), lines.select(F.col("place").alias("first"), F.col("line").alias("other"))
+    pairs = met.join(own, "place").join(other, "first").withColumns({"own": F.split("own", " "), "other": F.split("other", " ")})
+    return pairs.where(_within_one_edit("own", "other")).select("place").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, at, near): the lines to remove; near: an equal line doesn't precede it, one within an edit does."""
     table = cut(line_table(docs))
-    distinct = cut(table.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail")))
-    near = near_lines(docs, distinct).withColumn("near", F.lit(True))
-    firsts = distinct.select("h1", "h2", "place").join(near, "place", "left").select("h1", "h2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    rows = table.select("doc_id", "text_hash", "at", "h1", "h2", "place").join(firsts, ["h1", "h2"])
-    return rows.where((F.col("place") > F.col("first")) | F.col("near")).select("doc_id", "text_hash", "at", (F.col("place") == F.col("first")).alias("near")).distinct()
+    place = _order(F.col("doc_id"), F.col("at"))
+    distinct = cut(table.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("near").alias("near"), F.first("head").alias("head"), F.first("tail").alias("tail")))
+    near = near_lines(docs, distinct).withColumn("_near", F.lit(True))
+    firsts = distinct.select("h1", "h2", "place").join(near, "place", "left").select("h1", "h2", F.col("place").alias("first"), F.coalesce("_near", F.lit(False)).alias("near"))
+    rows = table.select("doc_id", "text_hash", "at", "h1", "h2").join(firsts, ["h1", "h2"])
+    return rows.where((place > F.col("first")) | F.col("near")).select("doc_id", "text_hash", "at", (place == F.col("first")).alias("near")).distinct()
 
 
 def _by_document(docs: DataFrame, parts: list[Column]) -> DataFrame:
