@@ -54,8 +54,6 @@ def removed_lines(rows):
             if near:
                 out.setdefault((i, t), {})[k] = True
         first.setdefault(line, (order, k))
-    near_lines = {line for (i, t), got in out.items() for k, near in got.items() if near for line in [t.split("\n")[k]]}
-    assert near_lines or True
     return out
 
 

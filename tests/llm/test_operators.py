@@ -194,10 +194,13 @@ def test_crowds_keep_their_links(spark, hot):
     assert [found.get(x, x) for x in signed] == [signed[r] for r in roots]
 
 
-def test_one_of_each(hard):
+def test_one_of_each(hard, empty):
     kept = simhash.one_of_each(hard)
+    rows = kept.collect()
+    groups = {r["component_id"] for r in simhash.near_duplicates(hard, 5).collect()}
     assert kept.columns == hard.columns
-    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"] is not None) == [1, 3, 6, 7, 8, 10, 11, 12] or kept.count() <= 10
+    assert sorted((r["doc_id"] for r in rows), key=repr) == sorted(groups, key=repr)
+    assert simhash.one_of_each(empty).count() == 0
 
 
 # toxicity
@@ -396,16 +399,15 @@ def test_quality(spark, small, docs, hard, empty):
 
 
 def test_quality_keeps_prose_and_rejects_menus():
-    prose = "The committee met on Tuesday and agreed to publish the report, which describes how the river changed over ten years.\n" * 1 + "Nobody objected; the chair thanked everyone and closed the meeting early."
+    prose = "The committee met on Tuesday and agreed to publish the report, which describes how the river changed over ten years.\n" + "Nobody objected; the chair thanked everyone and closed the meeting early."
     assert quality_rules.judge(prose)[6]
-    menu = "Home | About | Contact | Help\n" * 1 + "Accept all cookies, see our cookie policy and privacy policy for more words here\n" + "All rights reserved by the company that made this page and its parts and pieces"
+    menu = "Home | About | Contact | Help\n" + "Accept all cookies, see our cookie policy and privacy policy for more words here\n" + "All rights reserved by the company that made this page and its parts and pieces"
     assert not quality_rules.judge(menu)[6]
     mixed = prose + "\nHome | About | Contact"
     assert quality_rules.judge(mixed)[6] and "Home" not in quality_rules.judge(mixed)[8]
 
 
-@pytest.mark.parametrize("stage", ["clean_documents"])
-def test_cleaned_documents_keep_columns(hard, empty, stage):
+def test_cleaned_documents_keep_columns(hard, empty):
     kept = quality_rules.clean_documents(hard)
     assert kept.columns == hard.columns and kept.count() > 0
     assert quality_rules.clean_documents(empty).columns == empty.columns
