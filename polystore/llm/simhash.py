@@ -23,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from polystore.llm.common import cut, map_rows
 from polystore.llm.components import components
@@ -124,10 +125,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     Of repeated rows with that doc_id one stays, the one of the least text.
     """
-    names = docs.columns
-    kept = near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    repeated = stays.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text").alias("_text")).where("n > 1").select(F.col("doc_id").alias("_id"), "_text")
-    single = stays.join(repeated, stays["doc_id"].eqNullSafe(repeated["_id"]), "left_anti")
-    again = stays.join(repeated, stays["doc_id"].eqNullSafe(repeated["_id"]) & stays["text"].eqNullSafe(repeated["_text"])).select(*[stays[n] for n in names]).dropDuplicates(["doc_id"])
-    return single.select(*names).union(again)
+    names, key = docs.columns, ["_id", "_none"]
+    keyed = {"_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_none": F.col("doc_id").isNull()}
+    kept = near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumns(keyed).select(*key).distinct()
+    # the join and the window share one exchange of the texts
+    stays = docs.withColumns(keyed).join(kept, key, "left_semi")
+    return stays.withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy("text"))).where("_turn = 1").select(*names)
