@@ -32,7 +32,7 @@ from polystore.llm.common import WORD, cut, text_or_empty
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-CHUNK = 20_000
+CHUNK = 2_000
 NEAR = 1e-9
 LANDING = 10  # documents that stay out of a source's last flight and land with the two it leaves
 
