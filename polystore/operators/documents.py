@@ -104,54 +104,61 @@ def variant_at(body: Column, path: str) -> Column:
 
 
 def _equals(field: Field, value: Any) -> Column:
+    """Null or false where it doesn't hold, so that it stays a plain comparison that scans can use."""
     if value is None:
         return field.missing()
     if isinstance(value, (bool, int, float)):
-        return F.coalesce(field.number() == F.lit(float(value) if isinstance(value, float) or field.variant else int(value)), F.lit(False))
+        return field.number() == F.lit(float(value) if isinstance(value, float) or field.variant else int(value))
     if isinstance(value, str):
-        return F.coalesce(field.text() == F.lit(value), F.lit(False))
+        return field.text() == F.lit(value)
     if isinstance(value, (list, tuple)):
         items = field.items()
         if items is None:
             return F.lit(False)
         whole = F.size(items[0]) == len(value)
-        return F.coalesce(reduce(and_, [_item_equals(F.get(items[0], F.lit(i)), items[1], v) for i, v in enumerate(value)], whole), F.lit(False))
+        return reduce(and_, [_item_equals(F.get(items[0], F.lit(i)), items[1], v) for i, v in enumerate(value)], whole)
     raise TypeError(f"can't compare with {type(value).__name__}")
 
 
+def _not(holds: Column) -> Column:
+    return ~F.coalesce(holds, F.lit(False))
+
+
 def _item_equals(item: Column, kind: T.DataType, value: Any) -> Column:
     if isinstance(kind, T.VariantType):
         said = F.schema_of_variant(item)
         if value is None:
             return item.isNull() | (said == "VOID")
         if isinstance(value, str):
-            return F.coalesce((said == "STRING") & (F.try_variant_get(item, "$", "string") == value), F.lit(False))
-        return F.coalesce((said != "STRING") & (F.try_variant_get(item, "$", "double") == float(value)), F.lit(False))
+            return (said == "STRING") & (F.try_variant_get(item, "$", "string") == value)
+        return (said != "STRING") & (F.try_variant_get(item, "$", "double") == float(value))
     if value is None:
         return item.isNull()
     if isinstance(value, str) != isinstance(kind, T.StringType):
         return F.lit(False)
-    return F.coalesce(item == F.lit(value), F.lit(False))
+    return item == F.lit(value)
 
 
 def _compares(field: Field, op: str, value: Any) -> Column:
     side = field.text() if isinstance(value, str) else field.number()
-    compared = {"$gt": side > value, "$gte": side >= value, "$lt": side < value, "$lte": side <= value}[op]
-    return F.coalesce(compared, F.lit(False))
+    return {"$gt": side > value, "$gte": side >= value, "$lt": side < value, "$lte": side <= value}[op]
 
 
 def _contains(field: Field, value: Any) -> Column:
-    found = F.coalesce(F.contains(field.text(), F.lit(value)), F.lit(False)) if isinstance(value, str) else F.lit(False)
+    found = F.contains(field.text(), F.lit(value)) if isinstance(value, str) else F.lit(False)
     items = field.items()
     if items is None:
         return found
-    listed = F.coalesce(F.exists(items[0], lambda x: _item_equals(x, items[1], value)), F.lit(False))
-    return listed | found if field.variant else listed
+    listed = F.exists(items[0], lambda x: _item_equals(x, items[1], value))
+    return F.coalesce(listed, F.lit(False)) | F.coalesce(found, F.lit(False)) if field.variant else listed
 
 
 def _any_of(field: Field, values: list) -> Column:
     """$in over plain values of one kind is one IN, which scans can use."""
-    return reduce(lambda a, b: a | b, [_equals(field, v) for v in values], F.lit(False)) if len(values) < 3 or field.variant or any(v is None for v in values) or len({isinstance(v, str) for v in values}) > 1 else F.coalesce((field.text() if isinstance(values[0], str) else field.number()).isin(*values), F.lit(False))
+    alike = len({isinstance(v, str) for v in values}) == 1 and all(isinstance(v, (str, int, float)) for v in values)
+    if alike and not field.variant:
+        return (field.text() if isinstance(values[0], str) else field.number()).isin(*values)
+    return reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), [_equals(field, v) for v in values], F.lit(False))
 
 
 def condition(field: Field, said: Any) -> Column:
@@ -162,20 +169,20 @@ def condition(field: Field, said: Any) -> Column:
         if op == "$eq":
             out.append(_equals(field, value))
         elif op == "$ne":
-            out.append(~_equals(field, value))
+            out.append(_not(_equals(field, value)))
         elif op in ("$gt", "$gte", "$lt", "$lte"):
             out.append(_compares(field, op, value))
         elif op == "$in":
             out.append(_any_of(field, list(value)))
         elif op == "$nin":
-            out.append(~_any_of(field, list(value)))
+            out.append(_not(_any_of(field, list(value))))
         elif op == "$contains":
             out.append(_contains(field, value))
         elif op == "$regex":
-            out.append(F.coalesce(field.text().rlike(value), F.lit(False)))
+            out.append(field.text().rlike(value))
         else:
             raise ValueError(f"unknown operator {op}")
-    return reduce(and_, out, F.lit(True))
+    return reduce(and_, out) if out else F.lit(True)
 
 
 def matches(docs: DataFrame, filters: dict[str, Any], body: str = "body") -> DataFrame:

@@ -273,3 +273,10 @@ def test_pushdown(spark, small):
 
     plan = log.current(log.get(event_log(spark, small).where("user_id = 3"), "user:3"))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)" in plan and "html" not in plan
+
+
+def test_filters_reach_the_scan(spark, small):
+    from polystore.plans.document_queries import _events
+
+    plan = documents.matches(_events(spark, small), {"type": "purchase", "user_id": {"$lt": 50}})._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_type,purchase)" in plan and "LessThan(user_id,50)" in plan
