@@ -134,7 +134,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     text = maybe_in(text, F.col("h1"), key_filter(able.select(F.col("h1").alias("key"))))
     text = text.select("h1", _order(F.col("doc_id"), F.col("at")).alias("place"), "line")
     lines = cut(text.join(able, ["h1", "place"], "left_semi").dropDuplicates(["place", "h1"]).select("place", _spaced(F.col("line")).alias("line")))
-    parts = _parts(lines)
+    parts = cut(_parts(lines))
     met = parts.groupBy("part").agg(F.count("*").alias("times")).where("times > 1").select("part")
     lines = cut(lines.join(parts.join(met, "part", "left_semi").select("place").distinct(), "place", "left_semi"))
     variants = cut(_variants(lines))
