@@ -314,9 +314,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1
 """
 
 
-@query("SELECT l_suppkey AS key, l_partkey AS member, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS score FROM lineitem GROUP BY l_suppkey, l_partkey")
+@query("SELECT l_suppkey AS key, l_partkey AS member, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000 + CAST(l_quantity AS BIGINT)) AS score FROM lineitem GROUP BY l_suppkey, l_partkey")
 def kv_zadd(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("member"), F.col("l_quantity").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("lsn"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("member"), F.col("l_quantity").alias("score"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_quantity").cast("bigint")).alias("lsn"))  # lines may share a number
     return latest(rows, ["key", "member"], ["score"])
 
 
