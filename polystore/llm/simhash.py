@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from polystore.llm.alike import groups
 from polystore.llm.common import cut, map_rows
 from polystore.llm.components import components
 
@@ -121,13 +122,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The documents that stand for their group: of each component the row of the least doc_id, with all columns.
+    """The documents that stand for their group: of each group alike the row of the least doc_id, with all columns.
 
-    Of repeated rows with that doc_id one stays, the one of the least text.
+    Fingerprints within DISTANCE are far more alike than 0.8, so groups come from shared least hashes and
+    the shingles themselves (alike.py). Of repeated rows with that doc_id one stays, the one of the least text.
     """
     names, key = docs.columns, ["_id", "_none"]
     keyed = {"_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_none": F.col("doc_id").isNull()}
-    kept = near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumns(keyed).select(*key).distinct()
+    kept = groups(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumns(keyed).select(*key).distinct()
     # the join and the window share one exchange of the texts
     stays = docs.withColumns(keyed).join(kept, key, "left_semi")
     return stays.withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy("text"))).where("_turn = 1").select(*names)
