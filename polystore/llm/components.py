@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from polystore.llm.common import cut
 
-ROUNDS = 60  # each round at least halves the depth of a tree; a bound against endless loops only
-
 
 def _links(spark_df: DataFrame, ascending: bool) -> DataFrame:
     """One star step over (a, b) with a > b: large-star if not ascending, small-star if so."""
@@ -34,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the least node that can be reached."""
     edges = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
-    for _ in range(ROUNDS):
+    while True:  # the steps converge, in a logarithmic number of rounds
         edges = cut(_links(_links(edges, False), True))
         new = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if new == state or not new["n"]:
