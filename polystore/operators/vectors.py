@@ -141,5 +141,41 @@ def search_lists(vectors: DataFrame, assigned: DataFrame, centroids: list[list[f
     return nearest(assigned.where(F.col("cid").isin(*lists)), query, top, metric)
 
 
+def search_lists_many(queries: DataFrame, assigned: DataFrame, centroids: list[list[float]], top: int = 10, metric: str = "cosine", probe: int = 4) -> DataFrame:
+    """search_lists for all queries (query_id, embedding) at once: (query_id, pos, vec_id, score)."""
+    _metric(metric)
+    high = METRICS[metric][1]
+    rows = [(r[0], list(r[1])) for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()]
+    found = assigned.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double")
+    for i in range(0, len(rows) if centroids else 0, BLOCK):
+        found = found.unionByName(_block_of_lists(rows[i : i + BLOCK], assigned, centroids, top, metric, probe))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score") if high else F.asc("score"), "vec_id")
+    return found.withColumn("pos", F.row_number().over(order).cast("bigint")).where(F.col("pos") <= top).select("query_id", "pos", "vec_id", "score")
+
+
+def _block_of_lists(rows: list, assigned: DataFrame, centroids: list[list[float]], top: int, metric: str, probe: int) -> DataFrame:
+    ids, q = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
+    lists = np.argsort(-_scores(q, np.array(centroids), "cosine"), axis=1, kind="stable")[:, :probe]
+    shared = assigned.sparkSession.sparkContext.broadcast((ids, q, [np.flatnonzero((lists == c).any(axis=1)) for c in range(len(centroids))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, askers = shared.value
+        for batch in batches:
+            cids = batch.column(2).to_numpy()
+            for c in np.unique(cids):
+                who, here = askers[c], np.flatnonzero(cids == c)
+                for at in range(0, len(here) if len(who) else 0, 2048):
+                    part = batch.take(pa.array(here[at : at + 2048]))
+                    names = part.column(0).to_numpy()
+                    v = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                    s = np.round(_scores(q[who], v, metric), 6)
+                    key = -s if metric != "euclidean" else s
+                    best = np.lexsort((np.broadcast_to(names, s.shape), key), axis=1)[:, :top]
+                    n = best.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[who], n)), pa.array(names[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "vec_id", "score"])
+
+    return assigned.select("vec_id", "embedding", "cid").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+
+
 def column_of(metric: str, a: Column, b: Column) -> Column:
     return _metric(metric)[0](a, b)
