@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE = 256  # rows a Python worker holds as Python objects at once
+SLICE, SLICE_BYTES = 256, 16 << 20  # rows and bytes that a Python worker holds as Python objects at once; one row at least
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Points checkpoint() at the folder the cluster names; a temporary one only where none is set (tests)."""
+    """Points checkpoint() at the folder the cluster names; a temporary one only where none is set on a local master (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="polystore-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="polystore-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,6 +58,17 @@ def maybe_in(rows: DataFrame, key: Column, there: DataFrame) -> DataFrame:
     return met.where(byte.bitwiseAND(F.expr("shiftleft(1, CAST(_bit % 8 AS INT))")) != 0).select(names)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE rows and SLICE_BYTES bytes, of one row at least."""
+    at = 0
+    while at < batch.num_rows:
+        part = batch.slice(at, SLICE)
+        while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            part = batch.slice(at, part.num_rows // 2)
+        yield part
+        at += part.num_rows
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[dict]], list[tuple]]], schema: str) -> DataFrame:
     """df row by row through Python in slices: make() runs once a task and returns the function of a slice.
 
@@ -68,8 +82,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[dict]], list[tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                rows = work(batch.slice(at, SLICE).to_pylist())
+            for part in slices(batch):
+                rows = work(part.to_pylist())
                 if rows:
                     columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, schema=out)

@@ -12,6 +12,7 @@ from polystore.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
 from polystore.llm.line_dedup import line_dedup
 from polystore.llm.mixing import mix
 from polystore.llm.pii import find_pii
+from polystore.llm.quality_rules import ORACLE as QUALITY_SQL
 from polystore.llm.quality_rules import quality_rules
 from polystore.llm.simhash import near_duplicates
 from polystore.llm.substring_dedup import repeated_passages
@@ -64,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINE_DEDUP_SQL}
+    return {"op6_line_dedup": LINE_DEDUP_SQL, "op10_quality_rules": QUALITY_SQL}
