@@ -48,14 +48,19 @@ def key_filter(keys: DataFrame) -> DataFrame:
     return keys.select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def maybe_in(rows: DataFrame, key: Column, there: DataFrame) -> DataFrame:
-    """Rows whose key may be in the filter: all that are, and few others while the filter isn't full."""
+def may_be_in(rows: DataFrame, key: Column, there: DataFrame, name: str) -> DataFrame:
+    """rows with the boolean column `name`: whether the key may be in the filter."""
     names = rows.columns
     spot = F.pmod(key, F.lit(FILTER_BITS))
     own = rows.withColumns({"_bucket": F.bitmap_bucket_number(spot), "_bit": F.bitmap_bit_position(spot)})
-    met = own.join(F.broadcast(there), F.col("_bucket") == F.col("bucket"))
+    met = own.join(F.broadcast(there), F.col("_bucket") == F.col("bucket"), "left")
     byte = F.conv(F.hex(F.substring("bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, CAST(_bit % 8 AS INT))")) != 0).select(names)
+    return met.select(*names, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, CAST(_bit % 8 AS INT))")) != 0, F.lit(False)).alias(name))
+
+
+def maybe_in(rows: DataFrame, key: Column, there: DataFrame) -> DataFrame:
+    """Rows whose key may be in the filter: all that are, and few others while the filter isn't full."""
+    return may_be_in(rows, key, there, "_may").where("_may").drop("_may")
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

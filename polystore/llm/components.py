@@ -19,7 +19,7 @@ def _links(spark_df: DataFrame, ascending: bool) -> DataFrame:
         rows = spark_df.select(F.col("a").alias("u"), F.col("b").alias("v"))
     else:
         rows = spark_df.select(F.col("a").alias("u"), F.col("b").alias("v")).union(spark_df.select(F.col("b"), F.col("a")))
-    least = rows.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    least = cut(rows.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))  # read anew, so that AQE can split the join's hot nodes
     joined = rows.join(least, "u")
     out = joined.where(F.col("v") > F.col("u")) if not ascending else joined
     moved = out.select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -259,6 +259,115 @@ def test_passages_within_other_text(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def shingled(words):
+    from xxhash import xxh64_intdigest
+
+    return [xxh64_intdigest(" ".join(words[k : k + 5]).encode()) for k in range(len(words) - 4)]
+
+
+def has_alike_passage(a, b, longest=100):
+    """Whether any two runs of 46 shingles or more, of sizes that differ by at most one, have a Jaccard similarity of 0.8."""
+    for n in range(46, min(len(a), longest) + 1):
+        for m in (n - 1, n, n + 1):
+            if not 46 <= m <= len(b):
+                continue
+            for y in range(len(b) - m + 1):
+                part = set(b[y : y + m])
+                for x in range(len(a) - n + 1):
+                    both = len(part.intersection(a[x : x + n]))
+                    if both >= 0.8 * (len(set(a[x : x + n])) + len(part) - both):
+                        return True
+    return False
+
+
+def test_passages_with_edits_against_all_windows():
+    """Of pairs alike by brute force, nearly all meet and are verified, at any length and place of edits."""
+    import random
+
+    import numpy as np
+
+    from polystore.llm import substring_dedup as sd
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    alike = found = 0
+    for trial in range(260):
+        length, edits = (50, 55, 60, 80, 100)[trial % 5], 1 + trial // 5 % 3
+        base = [word() for _ in range(length)]
+        changed = list(base)
+        for _ in range(edits):
+            at = rng.randrange(len(changed))
+            kind = rng.randrange(3)
+            changed[at : at + (kind != 1)] = [word()] if kind < 2 else []
+        pad = lambda: [word() for _ in range(rng.randrange(4))]
+        a, b = (np.array(shingled(pad() + x + pad()), dtype=np.uint64) for x in (base, changed))
+        met = meeting(a, b)
+        got = bool(sd.passages(a, b, met))
+        if min(len(a), len(b)) >= 46 and has_alike_passage(a.tolist(), b.tolist()):
+            alike, found = alike + 1, found + got
+        for w, x, y, z in sd.passages(a, b, met):
+            u, v = set(a[w:x].tolist()), set(b[y:z].tolist())
+            assert min(x - w, z - y) >= 46 and len(u & v) >= 0.8 * len(u | v)
+    assert alike > 130 and found >= 0.98 * alike, (alike, found)
+
+
+def meeting(a, b):
+    """Places at which two texts meet, as the index and its join have them."""
+    from polystore.llm import substring_dedup as sd
+
+    index = []
+    for s in (a, b):
+        c = sd.least_places(sd.place_keys(s)) if len(s) >= 46 else []
+        index.append((c, *(sd.surroundings([s], [c]) if len(c) else ([], []))))
+    keys = [sd.place_keys(s) for s in (a, b)]
+    out = []
+    for p, x, y in zip(*index[0], strict=True):
+        for q, v, w in zip(*index[1], strict=True):
+            if keys[0][p] == keys[1][q] and sd.equal_shingles(x, v) + sd.equal_shingles(y, w) + 5 >= sd.ALIKE:
+                out.append((int(p), int(q)))
+    return out
+
+
+def test_windows_are_those_of_the_cartesian_tree():
+    import random
+
+    import numpy as np
+
+    from polystore.llm import substring_dedup as sd
+
+    def tree(f, low, high):
+        if high - low + 1 < sd.RUN:
+            return []
+        c = low + int(np.argmin(f[low : high + 1]))
+        return [c, *tree(f, low, c - 1), *tree(f, c + 1, high)]
+
+    rng = random.Random(4)
+    for n in (0, 5, 17, 60, 400):
+        for top in (3, 50, 1 << 60):
+            f = np.array([rng.randrange(top) for _ in range(n)], dtype=np.uint64)
+            assert sorted(tree(f, 0, n - 1)) == sd.least_places(f).tolist()
+
+
+def test_passages_in_crowds(spark):
+    """Two texts share 54 words round a phrase that many others have; the others go unlinked."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(10**7)}"
+    rows, want = [], {}
+    for trial in range(6):
+        phrase = [word() for _ in range((12, 26, 30, 36, 40, 30)[trial])]
+        shared = [word() for _ in range(54 - len(phrase))]
+        cut = rng.randrange(len(shared) + 1)
+        passage = shared[:cut] + phrase + shared[cut:]
+        first = 1000 * trial
+        for k in range(120):
+            rows.append((first + k, " ".join([word() for _ in range(60)] + (passage if k in (40, 80) else phrase) + [word() for _ in range(60)])))
+        want[first + 40] = want[first + 80] = first + 40
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == want
+
+
 # lines
 
 
