@@ -63,6 +63,29 @@ def maybe_in(rows: DataFrame, key: Column, there: DataFrame) -> DataFrame:
     return may_be_in(rows, key, there, "_may").where("_may").drop("_may")
 
 
+MANY, SALTS = 1_000, 256  # a text with over so many partners is dealt to so many tasks
+
+
+def with_texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) of hashes with text_a and text_b from rows (hash, text).
+
+    A text with over MANY partners is dealt to SALTS tasks, so that no task gets all its pairs;
+    texts without a partner stay where they are.
+    """
+    names = pairs.columns
+    for side, other in (("a", "b"), ("b", "a")):
+        hot = key_filter(pairs.groupBy(F.col(side).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key"))
+        pairs = may_be_in(pairs, F.col(side), hot, "_hot").withColumn(f"salt_{side}", F.when(F.col("_hot"), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    pairs = cut(pairs)
+    needed = cut(pairs.select(F.col("a").alias("hash"), F.col("salt_a").alias("salt")).union(pairs.select("b", "salt_b")).groupBy("hash").agg(F.collect_set("salt").alias("salts")))
+    wanted = key_filter(needed.select(F.col("hash").alias("key")))
+    texts = maybe_in(rows, F.col("hash"), wanted).join(needed, "hash").groupBy("hash").agg(F.first("text").alias("text"), F.first("salts").alias("salts")).select("hash", "text", F.explode("salts").alias("salt"))
+    for side in ("b", "a"):
+        own = texts.select(F.col("hash").alias(side), F.col("salt").alias(f"salt_{side}"), F.col("text").alias(f"text_{side}"))
+        pairs = pairs.join(own, [side, f"salt_{side}"])
+    return pairs.select(*names, "text_a", "text_b")
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most SLICE rows and SLICE_BYTES bytes, of one row at least."""
     at = 0
