@@ -9,11 +9,11 @@ every i, and the line itself. Two lines are within one edit only if a variant of
 variant of the other: both without word i (replaced), or one without word i and the other whole
 (inserted). Equal variants are met by grouping and a join on the grouped least line, never pairwise,
 and the words of the met lines are compared before one is removed. Keys of all variants of a line
-come from running sums of position hashes over its words.
+come from running combinations (exclusive or) of 64-bit position hashes over its words.
 
 Only lines that can have a partner emit variants: an edit of one word leaves either the first or
-the last HALF words as they are, so both lines share one of these hashes; and it leaves all of a line
-but one quarter as it is. Neither test loses a pair. Texts of lines leave their task only if a
+the last HALF words as they are (FEW words of lines of up to 2 * HALF words), so both lines share one
+of these hashes; and it leaves all of a line but one quarter as it is. Neither test loses a pair. Texts of lines leave their task only if a
 bitmap of fixed size says they may be wanted.
 
 Words are runs of non-white-space, lines end at line feeds. Null texts have one empty line; a null
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from polystore.llm.common import cut, key_filter, maybe_in, text_or_empty
 
-MIN_WORDS, NEAR_WORDS, HALF = 3, 10, 5
+MIN_WORDS, NEAR_WORDS = 3, 5  # one word of five is a likeness of 0.8
+HALF, FEW = 5, 2  # words that stand for half of a long line, and of a short one
 SPACES = " \t\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
-BITS = 39  # of a position hash; sums of up to 2**24 of them fit a long
 
 
 def _spaced(line: Column) -> Column:
@@ -63,14 +63,13 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Every line with words: (doc_id, text_hash, at, h1, h2, near, head, tail); near: it has words enough for an edit."""
+    """Every line with words: (doc_id, text_hash, at, h1, h2, halves); halves: hashes of its ends, null if it has too few words for an edit."""
+    spaced = F.col("spaced")
     rows = _hashed(_exploded(docs)).withColumn("spaced", _spaced(F.col("line")))
-    return rows.where(_at_least(F.col("spaced"), MIN_WORDS)).select(
-        "doc_id", "text_hash", "at", "h1", "h2",
-        _at_least(F.col("spaced"), NEAR_WORDS).alias("near"),
-        F.xxhash64(F.lit(0), F.substring_index("spaced", " ", HALF)).alias("head"),
-        F.xxhash64(F.lit(1), F.substring_index("spaced", " ", -HALF)).alias("tail"),
-    )
+    ends = lambda n: [F.xxhash64(F.lit(2 * n), F.substring_index(spaced, " ", n)), F.xxhash64(F.lit(2 * n + 1), F.substring_index(spaced, " ", -n))]
+    long, short = _at_least(spaced, 2 * HALF), ~_at_least(spaced, 2 * HALF + 1)  # lines of 2 * HALF words meet both kinds
+    halves = F.when(long & short, F.array(*ends(HALF), *ends(FEW))).when(long, F.array(*ends(HALF))).when(_at_least(spaced, NEAR_WORDS), F.array(*ends(FEW)))
+    return rows.where(_at_least(spaced, MIN_WORDS)).select("doc_id", "text_hash", "at", "h1", "h2", halves.alias("halves"))
 
 
 def _parts(lines: DataFrame) -> DataFrame:
@@ -91,20 +90,19 @@ def _parts(lines: DataFrame) -> DataFrame:
 
 def _variants(lines: DataFrame) -> DataFrame:
     """(place, i, key) of each line (place, line): the variant without word i (i = -1: whole); a key tells the words left and their number."""
-    hash_at = lambda w, k: F.xxhash64(w, k).bitwiseAND(F.lit((1 << BITS) - 1))
     sums = F.aggregate(
-        F.transform("words", lambda w, k: F.struct(hash_at(w, k).alias("stay"), hash_at(w, k - 1).alias("move"))),
+        F.transform("words", lambda w, k: F.struct(F.xxhash64(w, k).alias("stay"), F.xxhash64(w, k - 1).alias("move"))),
         F.expr("named_struct('stay', 0L, 'move', 0L, 'before', CAST(array() AS ARRAY<BIGINT>), 'through', CAST(array() AS ARRAY<BIGINT>))"),
         lambda s, x: F.struct(
-            (s["stay"] + x["stay"]).alias("stay"),
-            (s["move"] + x["move"]).alias("move"),
+            s["stay"].bitwiseXOR(x["stay"]).alias("stay"),
+            s["move"].bitwiseXOR(x["move"]).alias("move"),
             F.concat(s["before"], F.array(s["stay"])).alias("before"),
-            F.concat(s["through"], F.array(s["move"] + x["move"])).alias("through"),
+            F.concat(s["through"], F.array(s["move"].bitwiseXOR(x["move"]))).alias("through"),
         ),
     )
     each = lines.select("place", F.split("line", " ").alias("words")).select("place", F.size("words").alias("n"), sums.alias("sums"))
     each = each.select("place", "n", F.col("sums.stay").alias("stay"), F.col("sums.move").alias("move"), F.posexplode(F.arrays_zip("sums.before", "sums.through")).alias("i", "x"))
-    gone = F.xxhash64(F.col("n") - 1, F.col("x.before") + F.col("move") - F.col("x.through"))
+    gone = F.xxhash64(F.col("n") - 1, F.col("x.before").bitwiseXOR(F.col("move")).bitwiseXOR(F.col("x.through")))
     both = F.array(F.struct("i", gone.alias("key")), F.struct(F.lit(-1).alias("i"), F.xxhash64("n", "stay").alias("key")))
     return each.select("place", F.inline(F.when(F.col("i") == F.col("n") - 1, both).otherwise(F.array(F.struct("i", gone.alias("key"))))))
 
@@ -126,7 +124,7 @@ def _within_one_edit(a: str, b: str) -> Column:
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Places of the distinct lines that an earlier line within one edit precedes."""
-    halves = distinct.where("near").select("h1", "place", F.explode(F.array("head", "tail")).alias("half"))
+    halves = distinct.where("halves IS NOT NULL").select("h1", "place", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.count("*").alias("times")).where("times > 1").select("half")
     able = cut(halves.join(met, "half", "left_semi").select("h1", "place").distinct())
     # only lines that may be among those leave the scan
@@ -157,7 +155,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, at, near): the lines to remove; near: an equal line doesn't precede it, one within an edit does."""
     table = cut(line_table(docs))
     place = _order(F.col("doc_id"), F.col("at"))
-    distinct = cut(table.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("near").alias("near"), F.first("head").alias("head"), F.first("tail").alias("tail")))
+    distinct = cut(table.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("halves").alias("halves")))
     near = near_lines(docs, distinct).withColumn("_near", F.lit(True))
     firsts = distinct.select("h1", "h2", "place").join(near, "place", "left").select("h1", "h2", F.col("place").alias("first"), F.coalesce("_near", F.lit(False)).alias("near"))
     rows = table.select("doc_id", "text_hash", "at", "h1", "h2").join(firsts, ["h1", "h2"])
@@ -200,11 +198,13 @@ WITH lines AS (
 ), known AS (
     SELECT *, len(w) AS n, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS turn FROM cut WHERE len(w) >= 3
 ), firsts AS (
-    SELECT line, doc_id, pos, w, n, list_slice(w, 1, 5) AS head, list_slice(w, n - 4, n) AS tail FROM known WHERE turn = 1 AND n >= 10
+    SELECT line, doc_id, pos, w, n FROM known WHERE turn = 1 AND n >= 5
+), ends AS (
+    SELECT *, unnest(list_concat(
+        CASE WHEN n >= 10 THEN [['long head', array_to_string(w[1:5], ' ')], ['long tail', array_to_string(w[n-4:n], ' ')]] ELSE [] END,
+        CASE WHEN n <= 10 THEN [['head', array_to_string(w[1:2], ' ')], ['tail', array_to_string(w[n-1:n], ' ')]] ELSE [] END)) AS half FROM firsts
 ), pairs AS (
-    SELECT a.line, a.w AS a, b.w AS b FROM firsts a JOIN firsts b ON a.head = b.head AND (b.doc_id, b.pos) < (a.doc_id, a.pos) AND abs(a.n - b.n) <= 1
-    UNION ALL
-    SELECT a.line, a.w, b.w FROM firsts a JOIN firsts b ON a.tail = b.tail AND (b.doc_id, b.pos) < (a.doc_id, a.pos) AND abs(a.n - b.n) <= 1
+    SELECT a.line, a.w AS a, b.w AS b FROM ends a JOIN ends b ON a.half = b.half AND (b.doc_id, b.pos) < (a.doc_id, a.pos) AND abs(a.n - b.n) <= 1
 ), placed AS (
     SELECT line, a, b, coalesce(list_position(list_transform(generate_series(1, least(len(a), len(b))), lambda i: a[i] <> b[i]), true), 0) AS p FROM pairs
 ), near AS (
