@@ -7,8 +7,10 @@ many documents there are, because each entry takes up LEAST of all documents' te
 the plan as a literal hash table. A fingerprint is a list of signatures: each is the hash of the
 document's sorted distinct lexicon terms within one random subset of the lexicon. Subsets of
 several rates (1/2 to 1/512) let short and long documents alike share some signatures after an
-edit. The first signature is of the whole band, or of all terms where none is in the band, so
-that texts always have one. Likeness is the share of signatures that are equal, of those that
+edit. Where fewer than one in FEW of a document's terms are in the band, as in a large group of near
+copies, whose terms are all too frequent, all its terms take the band's place, so that these texts
+have as many signatures as any others. The first signature is of the whole band, so that texts
+always have one. Likeness is the share of signatures that are equal, of those that
 either has.
 
 The next document is found by dealing the rows into ranges of ids with the first rows of the next
@@ -33,6 +35,8 @@ from polystore.llm.common import text_or_empty
 LEAST, MOST = 1 / 400, 1 / 10  # of all documents
 #: (bits, subsets): a subset of so many bits holds 1 / 2**bits of the lexicon.
 SUBSETS = ((1, 2), (3, 4), (5, 8), (7, 12), (9, 6))
+FEW = 10
+MOST_ENTRIES = 1 << 21  # of the lexicon, as it stands in the plan
 RANGE_ROWS, MOST_RANGES = 64, 8192
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -48,7 +52,10 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> list[i
     n = docs.count()
     low, high = max(2, math.ceil(least * n)), most * n
     counted = docs.select(F.explode(terms(text_or_empty())).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return sorted(r[0] for r in counted.where((F.col("n") >= low) & (F.col("n") <= max(high, low))).select("term").collect())
+    found = counted.where((F.col("n") >= low) & (F.col("n") <= max(high, low))).select("term").limit(MOST_ENTRIES + 1).collect()
+    if len(found) > MOST_ENTRIES:
+        raise ValueError(f"over {MOST_ENTRIES} terms in the band: documents are so long that `least` must be larger")
+    return sorted(r[0] for r in found)
 
 
 def _literal(value: object, kind: str) -> Column:
@@ -87,11 +94,13 @@ def with_signatures(rows: DataFrame, text: Column, words: list[int], to: str) ->
     own, band = f"_{to}_terms", f"_{to}_band"
     rows = rows.withColumn(own, terms(text))
     rows = rows.withColumn(band, F.filter(own, lambda h: F.array_contains(F.get(table, F.pmod(h, F.lit(slots)).cast("int")), h)))
-    whole = F.when(F.size(band) > 0, F.xxhash64(F.lit("band"), F.col(band))).otherwise(F.xxhash64(F.lit("all"), F.col(own)))
-    signatures = [whole]
+    few = F.size(band) * FEW < F.size(own)
+    rows = rows.withColumn(band, F.when(few | (F.size(band) == 0), F.struct(F.lit("all").alias("of"), F.col(own).alias("terms"))).otherwise(F.struct(F.lit("band").alias("of"), F.col(band).alias("terms"))))
+    band_terms = F.col(f"{band}.terms")
+    signatures = [F.xxhash64(f"{band}.of", band_terms)]
     for k in range(N_SUBSETS):
         shift, mask, value = _subset(k)
-        signatures.append(F.xxhash64(F.filter(band, _within(shift, mask, value))))
+        signatures.append(F.xxhash64(F.filter(band_terms, _within(shift, mask, value))))
     nothing = F.xxhash64(F.array().cast("array<bigint>"))
     raw = f"_{to}_raw"
     rows = rows.withColumn(raw, F.array(*signatures))
