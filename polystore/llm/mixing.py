@@ -11,8 +11,8 @@ chunks, and what remains of the last chunk, two documents at most, is landed by
 Chunks are hashes of ids, so a source with a third of all rows is dealt over many tasks, and the
 same table gives the same mix again. Null texts have no words; a null source is a source, the last
 one; documents without words, sources without words and empty tables take nothing. Repeated rows
-are mixed each. The table of targets has one row a source; sources are named with weights, so
-they are few, and it alone passes through the driver.
+are mixed each, those alike in id, source and size in the order of their texts. The table of targets
+has one row a source, at most MOST_SOURCES, and it alone passes through the driver.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ SHARE = 1.5
 MOST = 2.0
 CHUNK = 2_000
 NEAR = 1e-9
-LANDING = 10  # documents that stay out of a source's last flight and land with the two it leaves
+LANDING = 10  # documents, at most half of them, that stay out of a source's last flight and land with the two it leaves
+MOST_SOURCES = 1 << 18
 
 
 def targets(sizes: list[int], weights: list[float], mass: float, most: float = MOST) -> list[float]:
@@ -104,7 +105,10 @@ def sized(docs: DataFrame) -> DataFrame:
 def source_targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, target, place, n_rows) by source."""
     spark = rows.sparkSession
-    found = sorted(rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
+    found = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources: mix groups of them")
+    found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["s"] or 0) for r in found]
     goal = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], share * sum(sizes), most)
     schema = StructType([StructField("source", StringType()), StructField("source_size", LongType()), StructField("target", DoubleType()), StructField("place", LongType()), StructField("n_rows", LongType())])
@@ -117,7 +121,7 @@ def _flown(pdf: pd.DataFrame) -> pd.DataFrame:
     p, seed = list(pdf["p"]), int(pdf["place"].iloc[0]) * 1_000_003 + int(pdf["chunk"].iloc[0])
     if pdf["chunks"].iloc[0] > 1:
         return pdf.assign(p=flight(p, size, seed))
-    flying = max(0, len(p) - LANDING)
+    flying = len(p) - min(LANDING, len(p) // 2)
     return pdf.assign(p=land(flight(p[:flying], size[:flying], seed) + p[flying:], size))
 
 
@@ -163,7 +167,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     own = docs.withColumns({"_id": F.col("doc_id"), "_source": F.col("source").cast("string"), "_size": F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")})
     plan = mix(docs, **settings).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     # rows alike in id, source and size share their copies
-    own = own.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    own = own.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy("text")))
     same = [own[k].eqNullSafe(plan[k]) for k in key]
     taken = own.join(plan, same[0] & same[1] & same[2], "inner")
     times = F.floor(F.col("_copies") / F.col("_rows")).cast("int") + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("int")
