@@ -73,7 +73,8 @@ LOW = (1 << SEGMENT) - 1
 def variants(fps: DataFrame) -> DataFrame:
     """(fp, key): the one-wildcard variants of each fingerprint; a key holds the place of the wildcard and the masked segment."""
     partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = fps.repartition(partitions, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT - 1))).alias("k"))  # many small tasks: each row becomes 64
+    # many small tasks, since each row becomes 64; dealt by another hash than the grouping before, or AQE would join them again
+    rows = fps.repartition(partitions, F.xxhash64("fp", F.lit(1))).select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT - 1))).alias("k"))
     masked = F.expr(f"CASE WHEN k < {SEGMENT} THEN fp & {LOW}L ELSE shiftrightunsigned(fp, {SEGMENT}) END & ~shiftleft(1L, k % {SEGMENT})")
     return rows.select("fp", F.expr(f"shiftleft(CAST(k AS BIGINT), {SEGMENT})").bitwiseOR(masked).alias("key"))
 
@@ -121,15 +122,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def candidates(rows: DataFrame, shingle: int) -> DataFrame:
+    """Pairs (a, b), a < b, of texts (hash, text): the links of their fingerprints, and equal fingerprints by the least text of each."""
+    fps = cut(fingerprints(rows, shingle, id_col="hash").select(F.col("doc_id").alias("hash"), "fp").distinct())
+    least = cut(fps.groupBy("fp").agg(F.min("hash").alias("a")))
+    equal = fps.join(least, "fp").where("hash <> a").select("a", F.col("hash").alias("b"))
+    found = links(fps.select("fp").distinct()).distinct()
+    met = found.join(least.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b")
+    return equal.union(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents that stand for their group: of each group alike the row of the least doc_id, with all columns.
 
-    Fingerprints within DISTANCE are far more alike than 0.8, so groups come from shared least hashes and
-    the shingles themselves (alike.py). Of repeated rows with that doc_id one stays, the one of the least text.
+    Texts alike in 0.8 of their shingles are a group. Links of fingerprints are the first candidates;
+    within DISTANCE they are far more alike than 0.8, so that shared least hashes give the others, and
+    all are verified on the shingles (alike.py). Of repeated rows with that doc_id one stays, the one
+    of the least text.
     """
     names, key = docs.columns, ["_id", "_none"]
     keyed = {"_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_none": F.col("doc_id").isNull()}
-    kept = groups(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumns(keyed).select(*key).distinct()
+    alike = groups(docs, shingle, lambda rows: candidates(rows, shingle))
+    kept = alike.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumns(keyed).select(*key).distinct()
     # the join and the window share one exchange of the texts
     stays = docs.withColumns(keyed).join(kept, key, "left_semi")
     return stays.withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy("text"))).where("_turn = 1").select(*names)

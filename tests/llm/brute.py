@@ -50,7 +50,7 @@ def removed_lines(rows):
         if line in first and first[line] < (order, k):
             out.setdefault((i, t), {})[k] = False
         elif line not in first:
-            near = len(w) >= 10 and any(len(words(x)) >= 10 and at < (order, k) and within_one_edit(w, words(x)) for x, at in first.items())
+            near = len(w) >= 5 and any(len(words(x)) >= 5 and at < (order, k) and within_one_edit(w, words(x)) for x, at in first.items())
             if near:
                 out.setdefault((i, t), {})[k] = True
         first.setdefault(line, (order, k))

@@ -93,13 +93,16 @@ def signatures_of(text, lexicon):
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     terms = sorted({signed(xx(t.encode(), 42)) for t in re.split(r"[\x20\x09-\x0D]+", text.lower()) if t})
     band = [t for t in terms if t in lexicon]
+    name = "band"
+    if not band or len(band) * imatch.FEW < len(terms):
+        name, band = "all", terms
 
     def fold(values, seed=42):
         for v in values:
             seed = xx(struct.pack("<q", v), seed)
         return seed
 
-    out = [fold(band, xx(b"band", 42)) if band else fold(terms, xx(b"all", 42))]
+    out = [fold(band, xx(name.encode(), 42))]
     for k in range(imatch.N_SUBSETS):
         shift, mask, value = imatch._subset(k)
         part = [t for t in band if t >> shift & mask == value]
@@ -142,6 +145,29 @@ def test_imatch(spark, small, docs, hard, empty):
     check_imatch(imatch.fingerprint_documents(one), [(5, "alone in the table")])
 
 
+def test_imatch_of_a_large_group_of_near_copies(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(150)], []
+    for k in range(300):
+        if k % 3:
+            rows.append((k, " ".join(word() for _ in range(100))))
+        else:
+            w = list(base)
+            w[rng.randrange(150)] = word()
+            rows += [(k, " ".join(w))]
+    order = sorted(rows, key=lambda r: (r[0] % 3 > 0, r[0]))  # the near copies follow each other
+    rows = [(k, t) for k, (_, t) in enumerate(order)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = imatch.fingerprint_documents(docs)
+    check_imatch(found, rows)
+    near = [r["near_next"] for r in found.where("doc_id < 99").collect()]
+    assert min(near) > 0.4 and sum(near) / len(near) > 0.7
+    assert max(r["near_next"] for r in found.where("doc_id > 100 AND doc_id < 299").collect()) < 0.2
+
+
 def test_imatch_is_native(spark, small):
     plan = queries.op2_imatch(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "CartesianProduct" not in plan
@@ -216,6 +242,43 @@ def test_toxicity(spark, small, hard, empty):
     assert {r["score"] for r in toxicity.toxicity(hard, labels.limit(0)).collect()} == {0.5}
 
 
+def test_weights_are_those_of_a_plain_ftrl():
+    import math
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(sorted(rng.sample(range(60), rng.randrange(8))), rng.randrange(2)) for _ in range(200)]
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0 if i == toxicity.BIAS else toxicity.L1
+        if abs(z.get(i, 0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for at, label in rows:
+            w = {i: weight(i) for i in [*at, toxicity.BIAS]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in w:
+                sigma = (math.sqrt(n.get(i, 0) + g * g) - math.sqrt(n.get(i, 0))) / toxicity.ALPHA
+                z[i], n[i] = z.get(i, 0) + g - sigma * w[i], n.get(i, 0) + g * g
+    at, w = toxicity.fit([(np.array(a, dtype=np.int32), y) for a, y in rows])
+    want = {i: weight(i) for i in z if weight(i)}
+    assert set(at.tolist()) == set(want) and all(abs(want[i] - x) < 1e-9 for i, x in zip(at.tolist(), w.tolist(), strict=True))
+
+
+def test_training_is_bounded(spark):
+    rows = [(k, f"word{k % 2} text") for k in range(50)] + [(1, "word1 text")] * 20 + [(7, "w " + " ".join(f"x{i}" for i in range(30_000)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id bigint, toxic int")
+    whole, most = toxicity.train(docs, labels, "toxic"), toxicity.train(docs, labels, "toxic", entries=1_000)
+    assert len(whole[0]) > 0 and len(most[0]) > 0
+    assert len(toxicity.train(docs, labels, "toxic", entries=0)[0]) == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     found = queries.op4_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("toxic", "score").collect()
@@ -397,6 +460,24 @@ def test_near_lines(spark):
     check_lines(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")), rows)
 
 
+def test_near_lines_of_any_size(spark):
+    import random
+
+    rng, rows = random.Random(14), []
+    for k in range(250):
+        w = [rng.choice("abcdefgh") * 3 for _ in range(rng.choice([3, 4, 5, 6, 9, 10, 11, 12]))]
+        rows.append((len(rows), " ".join(w)))
+        for _ in range(rng.randrange(3)):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            rows.append((len(rows), " ".join([*w[:at], *(["zz"] if kind else []), *w[at + (kind != 1) :]])))
+    check_lines(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")), rows)
+
+
+def test_line_dedup_is_native(spark, small):
+    plan = queries.op6_line_dedup(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan) and "CartesianProduct" not in plan
+
+
 # personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -521,6 +602,34 @@ def test_flight_keeps_totals():
         assert abs(sum(after) - sum(p)) < 1e-6 and abs(sum(a * s for a, s in zip(after, size, strict=True)) - sum(a * s for a, s in zip(p, size, strict=True))) < 1e-3
 
 
+def test_flight_keeps_means_as_a_plain_cube_does():
+    """Inclusion over many seeds: that of the flight and of a cube sampler by null-space vectors, both near p."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(21)
+    size, p = [rng.randrange(1, 60) for _ in range(14)], [rng.uniform(0.1, 0.9) for _ in range(14)]
+
+    def plain(seed):
+        draw, x = np.random.default_rng(seed), np.array(p)
+        while True:
+            open_ = np.flatnonzero((x > 1e-9) & (x < 1 - 1e-9))
+            if len(open_) <= 2:
+                return x
+            u = np.linalg.svd(np.array([np.ones(len(open_)), np.array(size)[open_]]))[2][-1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ahead = np.min(np.where(np.abs(u) < 1e-12, np.inf, np.where(u > 0, (1 - x[open_]) / u, -x[open_] / u)))
+                back = np.min(np.where(np.abs(u) < 1e-12, np.inf, np.where(u > 0, x[open_] / u, (x[open_] - 1) / u)))
+            x[open_] += u * (ahead if draw.random() < back / (ahead + back) else -back)
+
+    runs = 1500
+    means = [np.mean([f(seed) for seed in range(runs)], axis=0) for f in (lambda s: mixing.flight(p, size, s), plain)]
+    for found in means:
+        assert np.abs(found - p).max() < 5 * 0.5 / runs**0.5
+        assert abs(found.sum() - sum(p)) < 1e-6 and abs(found @ size - np.dot(p, size)) < 1e-4
+
+
 # quality
 
 
