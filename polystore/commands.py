@@ -3,6 +3,10 @@
 A store is a log DataFrame (lsn, key, kind, op, field, value, ts): what was there before, as one
 DataFrame of any size, and the rows this session wrote. Reading commands fold the log with the
 engine's operators; a single key is a filter pushed into the log's scan. Replies are Python values.
+
+A key's epoch begins at its last deletion or at the last row of another kind; what came before
+doesn't count. A write to a key whose time to live has passed, or that is of another kind, first
+logs a deletion, so that neither old fields nor an old time to live come back.
 """
 
 from __future__ import annotations
@@ -25,6 +29,52 @@ class CommandError(Exception):
     pass
 
 
+class Transaction:
+    """Writes held back until commit, which logs them as one batch between two marks.
+
+    Reads see the transaction's own writes first. As a context it commits, or rolls back on an error.
+    """
+
+    def __init__(self, store: Store):
+        self.store, self.held, self.open = store, {}, True
+
+    def _active(self) -> None:
+        if not self.open:
+            raise CommandError("the transaction is no longer active")
+
+    def set(self, key: str, value: str) -> None:
+        self._active()
+        self.held[key] = value
+
+    def delete(self, key: str) -> None:
+        self._active()
+        self.held[key] = None
+
+    def get(self, key: str) -> str | None:
+        return self.held[key] if key in self.held else self.store.execute(["GET", key])
+
+    def commit(self) -> None:
+        self._active()
+        self.open = False
+        self.store._append("", "*", "BEGIN")
+        for key, value in self.held.items():
+            self.store.write(key, "*" if value is None else "string", "DEL" if value is None else "SET", None, value)
+        self.store._append("", "*", "COMMIT")
+
+    def rollback(self) -> None:
+        self.open = False
+        self.held.clear()
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is not None:
+            self.rollback()
+        elif self.open:
+            self.commit()
+
+
 class Store:
     def __init__(self, spark: SparkSession, base: DataFrame | None = None, clock: Callable[[], float] = time.time):
         self.spark, self.base, self.clock, self.rows = spark, base, clock, []
@@ -32,13 +82,40 @@ class Store:
         self.vectors: dict[str, DataFrame] = {}
         last = base.agg(F.max("lsn")).first()[0] if base is not None else None
         self.lsn = -1 if last is None else last
+        self.known: dict[str, tuple[str | None, float | None]] = {}
 
     # the log
 
-    def write(self, key: str, kind: str, op: str, field: str | None = None, value: str | None = None) -> None:
+    def _state(self, key: str) -> tuple[str | None, float | None]:
+        """(kind of the last writer, when it expires) of a key; looked up in the base once."""
+        if key not in self.known:
+            self.known[key] = None, None
+            if self.base is not None:
+                log = self.base.where(F.col("key") == key)
+                last = latest(log.where(~F.col("op").isin("EXPIRE", "PERSIST")), ["key"], ["op", "kind"]).first()
+                mark = self._expiries(log).first()
+                self.known[key] = None if last is None or last["op"] == "DEL" else last["kind"], mark["expire_at"] if mark else None
+        return self.known[key]
+
+    def _append(self, key: str, kind: str, op: str, field: str | None = None, value: str | None = None) -> None:
         self.lsn += 1
         self.rows.append((self.lsn, key, kind, op, field, value, float(self.clock())))
 
+    def write(self, key: str, kind: str, op: str, field: str | None = None, value: str | None = None) -> None:
+        own, expire_at = self._state(key)
+        gone = expire_at is not None and expire_at <= self.clock()
+        if op != "DEL" and (gone or kind != "*" and own not in (None, kind)):
+            self._append(key, "*", "DEL")
+            own, expire_at = None, None
+        self._append(key, kind, op, field, value)
+        if op in ("DEL", "EXPIRE", "PERSIST"):
+            self.known[key] = None if op == "DEL" else own, float(value) if op == "EXPIRE" else None
+        else:
+            self.known[key] = kind, None if kind == "string" else expire_at
+
+    def begin(self) -> Transaction:
+        return Transaction(self)
+
     def log(self) -> DataFrame:
         own = self.spark.createDataFrame(self.rows, SCHEMA)
         return own if self.base is None else self.base.select(own.columns).unionByName(own)
@@ -49,16 +126,14 @@ class Store:
         return latest(marks, ["key"], ["op", "value", "ts"]).select("key", F.when(F.col("op") == "EXPIRE", F.col("value").cast("double")).alias("expire_at"))
 
     def of(self, kind: str, *keys: str) -> DataFrame:
-        """The rows of a kind that still count: of keys alive, after their last deletion or change of kind."""
+        """The rows of a kind that still count: of keys alive, after their last deletion or row of another kind."""
         log = self.log()
         if keys:
             log = log.where(F.col("key").isin(*keys))
-        gone = log.where("op = 'DEL'").groupBy("key").agg(F.max("lsn").alias("_gone"))
-        own = log.where(~F.col("op").isin("DEL", "EXPIRE", "PERSIST"))
-        kinds = latest(own, ["key"], ["kind"]).withColumnRenamed("kind", "_kind")
+        gone = log.where((F.col("op") == "DEL") | ~F.col("kind").isin(kind, "*")).groupBy("key").agg(F.max("lsn").alias("_gone"))
         alive = self._expiries(log)
-        rows = own.where(F.col("kind") == kind).join(kinds, "key").where("kind = _kind").join(gone, "key", "left").where("_gone IS NULL OR lsn > _gone").join(alive, "key", "left")
-        return rows.where(F.col("expire_at").isNull() | (F.col("expire_at") > F.lit(float(self.clock())))).drop("_kind", "_gone", "expire_at")
+        rows = log.where(F.col("kind") == kind).join(gone, "key", "left").where("_gone IS NULL OR lsn > _gone").join(alive, "key", "left")
+        return rows.where(F.col("expire_at").isNull() | (F.col("expire_at") > F.lit(float(self.clock())))).drop("_gone", "expire_at")
 
     # folds
 

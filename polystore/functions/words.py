@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -66,7 +67,7 @@ def stem(word: str) -> str:
             word = rest
             if word.endswith(("at", "bl", "iz")):
                 word += "e"
-            elif len(word) > 1 and word[-1] == word[-2] and _pattern(word)[-1] == "c" and word[-1] not in "lsz":
+            elif len(word) > 1 and word[-1] == word[-2] and word[-1] not in "lsz":  # vowels too: "seeing" gives "se"
                 word = word[:-1]
     if word.endswith("y") and "v" in _pattern(word[:-1]):
         word = word[:-1] + "i"
@@ -98,10 +99,11 @@ def is_term(token: Column) -> Column:
     return (F.length(token) >= 2) & ~token.isin(*STOP_WORDS)
 
 
+def normal_words(text: str) -> list[str]:
+    return re.findall(r"\w+", (text if text.isascii() else unicodedata.normalize("NFKD", text)).lower())
+
+
 def terms_of(text: str, stemming: bool = False) -> list[str]:
     """The terms of a query text, on the driver."""
-    import re
-
-    words = re.findall(r"\w+", unicodedata.normalize("NFKD", text).lower())
-    words = [w for w in words if len(w) >= 2 and w not in STOP_WORDS]
+    words = [w for w in normal_words(text) if len(w) >= 2 and w not in STOP_WORDS]
     return [stem(w) for w in words] if stemming else words

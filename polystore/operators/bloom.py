@@ -1,7 +1,8 @@
 """A Bloom filter as rows, and a semi-join that uses one and then joins exactly.
 
-The filter of the small side is a bitmap of a size fixed by its expected number of keys and error
-rate; a number of hashes as usual for these. It is broadcast in rows of 4 KB.
+The filter is blocked: all bits of a key lie in one block of 4 KB, so that a row is tested by one
+lookup in one broadcast table whatever the number of hashes. Its size follows from the expected
+number of keys and the error rate, up to MOST_BITS.
 """
 
 from __future__ import annotations
@@ -21,16 +22,24 @@ def shape(expected: int, error: float) -> tuple[int, int]:
     return min(MOST_BITS, bits), min(30, max(1, round(bits / n * math.log(2))))
 
 
-def positions(key: Column, bits: int, hashes: int) -> Column:
-    """Places of a key by double hashing."""
-    one, two = F.xxhash64(key), F.xxhash64(F.lit(1), key)
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(F.pmod(one, F.lit(bits)) + i.cast("bigint") * F.pmod(two, F.lit(bits)), F.lit(bits)))
+BLOCK = 32_768  # bits
+
+
+def _block(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(2), key), F.lit(-(-bits // BLOCK)))
+
+
+def _places(key: Column, bits: int, hashes: int) -> list[Column]:
+    """Places of a key within its block, by double hashing."""
+    size = min(bits, BLOCK)
+    one, two = F.pmod(F.xxhash64(key), F.lit(size)), F.pmod(F.xxhash64(F.lit(1), key), F.lit(size))
+    return [F.pmod(one + F.lit(i) * two, F.lit(size)) for i in range(hashes)]
 
 
 def build(keys: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
-    """(bucket, bitmap)."""
-    spots = keys.select(F.explode(positions(F.col(key), bits, hashes)).alias("p"))
-    return spots.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+    """(block, bitmap)."""
+    spots = keys.select(_block(F.col(key), bits).alias("block"), F.explode(F.array(*_places(F.col(key), bits, hashes))).alias("p"))
+    return spots.groupBy("block").agg(F.bitmap_construct_agg("p").alias("bitmap"))
 
 
 def _bit_set(bitmap: Column, place: Column) -> Column:
@@ -39,14 +48,12 @@ def _bit_set(bitmap: Column, place: Column) -> Column:
 
 
 def maybe(rows: DataFrame, key: str, filter_: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """Rows whose key the filter may hold: one broadcast lookup for each hash."""
+    """Rows whose key the filter may hold: one broadcast lookup, at most MOST_BITS in all."""
     names = rows.columns
-    rows = rows.withColumn("_places", positions(F.col(key), bits, hashes))
-    for i in range(hashes):
-        part = filter_.select(F.col("bucket").alias(f"_bucket{i}"), F.col("bitmap").alias(f"_bitmap{i}"))
-        place = F.col("_places")[i]
-        rows = rows.join(F.broadcast(part), F.bitmap_bucket_number(place) == F.col(f"_bucket{i}")).where(_bit_set(F.col(f"_bitmap{i}"), F.bitmap_bit_position(place))).drop(f"_bucket{i}", f"_bitmap{i}")
-    return rows.select(names)
+    met = rows.withColumn("_block", _block(F.col(key), bits)).join(F.broadcast(filter_), F.col("_block") == F.col("block"))
+    for place in _places(F.col(key), bits, hashes):
+        met = met.where(_bit_set(F.col("bitmap"), place))
+    return met.select(names)
 
 
 def semi_join(rows: DataFrame, keys: DataFrame, key: str, expected: int, error: float = 0.01) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,16 +111,28 @@ def _same(term: str):
 
 
 def snippet_of(text: str, query: str, length: int = 160) -> str:
-    """The stretch of a text with most of the query's words, each in bold."""
+    """The stretch of a text with most of the query's words, each in bold.
+
+    Every word of the text begins a window; the first one that holds the most counts, and the
+    stretch begins 20 characters before it.
+    """
     words = sorted(set(re.findall(r"\w+", query.lower())), key=lambda w: (-len(w), w))
     low = text.lower()
-    starts = [m.start() for w in words for m in re.finditer(re.escape(w), low)]
-    best = max(sorted(starts), key=lambda s: sum(w in low[s : s + length] for w in words), default=0)
+    places = [(len(w), [m.start() for m in re.finditer(f"(?={re.escape(w)})", low)]) for w in words]
+    best, most = 0, 0
+    for m in re.finditer(r"\w+", low):
+        begin, held = m.start(), 0
+        for n, at in places:
+            k = bisect_left(at, begin)
+            held += k < len(at) and at[k] + n <= begin + length
+        if held > most:
+            best, most = begin, held
     start = max(0, best - 20)
-    part = text[start : start + length]
+    end = min(len(text), start + length)
+    part = text[start:end].strip()
     if words:
         part = re.sub("|".join(map(re.escape, words)), lambda m: f"<b>{m[0]}</b>", part, flags=re.IGNORECASE)
-    return ("..." if start > 0 else "") + part + ("..." if start + length < len(text) else "")
+    return ("..." if start > 0 else "") + part + ("..." if end < len(text) else "")
 
 
 def with_snippets(hits: DataFrame, docs: DataFrame, query: str, length: int = 160) -> DataFrame:

@@ -66,7 +66,12 @@ def overlay(base: DataFrame, buffered: DataFrame) -> DataFrame:
 
 
 def checksum(*columns: str) -> Column:
-    return F.crc32(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).cast("binary"))
+    """Of the columns' values, each framed by its length: no value passes for two, nor a null for an empty one."""
+    parts = []
+    for c in columns:
+        value = F.col(c).cast("string")
+        parts.append(F.when(value.isNull(), "-").otherwise(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value)))
+    return F.crc32(F.concat(*parts).cast("binary"))
 
 
 def frames(log: DataFrame, per_segment: int) -> DataFrame:

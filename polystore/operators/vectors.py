@@ -51,23 +51,76 @@ def nearest(vectors: DataFrame, query: list[float], top: int = 10, metric: str =
 
 
 BLOCK = 4096  # queries in a block
+PART = 2048  # vectors that meet a block at once
+SAMPLE = 20_000  # vectors that train lists, those of the least hashes
+
+
+def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the queries, BLOCK at a time; the driver holds no more."""
+    ids: list[int] = []
+    rows: list[list[float]] = []
+    for r in queries.select("query_id", "embedding").toLocalIterator():
+        ids.append(r[0])
+        rows.append(list(r[1]))
+        if len(ids) == BLOCK:
+            yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
+            ids, rows = [], []
+    if ids:
+        yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
+
+
+def _best_of(parts: list[DataFrame], spark, metric: str, top: int) -> DataFrame:
+    """The best of each query of what the tasks kept."""
+    found = spark.createDataFrame([], FOUND)
+    for more in parts:
+        found = found.unionByName(more)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score") if METRICS[metric][1] else F.asc("score"), "vec_id")
+    return found.withColumn("pos", F.row_number().over(order).cast("bigint")).where(F.col("pos") <= top).select("query_id", "pos", "vec_id", "score")
 
 
 def nearest_many(queries: DataFrame, vectors: DataFrame, top: int = 10, metric: str = "cosine") -> DataFrame:
     """(query_id, pos, vec_id, score) for all queries (query_id, embedding).
 
-    Queries come in blocks; each batch of vectors meets a block as one matrix product and keeps the
-    best `top` of each query before anything is shuffled.
+    Queries come in blocks; a block is broadcast, each part of the vectors meets it as one matrix
+    product, and a task keeps the best `top` of each query: queries * top rows a task are shuffled.
     """
     _metric(metric)
-    rows = [(r[0], list(r[1])) for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()]
-    parts = [_block(rows[i : i + BLOCK], vectors, top, metric) for i in range(0, max(1, len(rows)), BLOCK)]
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    high = METRICS[metric][1]
-    order = Window.partitionBy("query_id").orderBy(F.desc("score") if high else F.asc("score"), "vec_id")
-    return found.withColumn("pos", F.row_number().over(order).cast("bigint")).where(F.col("pos") <= top).select("query_id", "pos", "vec_id", "score")
+    return _best_of([_block(ids, q, vectors, top, metric) for ids, q in _blocks(queries)], vectors.sparkSession, metric, top)
+
+
+FOUND = "query_id bigint, vec_id bigint, score double"
+
+
+class Best:
+    """The best `top` (score, vec_id) of each of n queries so far; ties by the lower vec_id."""
+
+    def __init__(self, n: int, top: int, metric: str):
+        self.top, self.sign = top, 1.0 if metric == "euclidean" else -1.0
+        self.bar = np.full(n, np.inf)  # what the last of a full list costs
+        self.query, self.name, self.cost = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+
+    def take(self, queries: np.ndarray, names: np.ndarray, scores: np.ndarray) -> None:
+        """scores of the vectors (columns) for some of the queries (rows)."""
+        cost = self.sign * scores
+        if cost.shape[1] > self.top:  # what can't be among a row's best is left out at once
+            cut = np.partition(cost, self.top - 1, axis=1)[:, self.top - 1]
+            q, v = np.nonzero(cost <= np.minimum(cut, self.bar[queries])[:, None])
+        else:
+            q, v = np.nonzero(cost <= self.bar[queries][:, None])
+        if not len(q):
+            return
+        query, name, cost = (np.concatenate(x) for x in ((self.query, queries[q]), (self.name, names[v]), (self.cost, cost[q, v])))
+        order = np.lexsort((name, cost, query))
+        query, name, cost = query[order], name[order], cost[order]
+        begin = np.searchsorted(query, query, side="left")
+        rank = np.arange(len(query)) - begin
+        last = rank == self.top - 1
+        self.bar[query[last]] = cost[last]
+        stay = rank < self.top
+        self.query, self.name, self.cost = query[stay], name[stay], cost[stay]
+
+    def rows(self, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids[self.query]), pa.array(self.name), pa.array(self.sign * self.cost)], names=["query_id", "vec_id", "score"])
 
 
 def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
@@ -79,25 +132,23 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T))
 
 
-def _block(rows: list, vectors: DataFrame, top: int, metric: str) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)))
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+
+
+def _block(ids: np.ndarray, q: np.ndarray, vectors: DataFrame, top: int, metric: str) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))  # at most BLOCK queries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        best, every = Best(len(ids), top, metric), np.arange(len(ids))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                names = part.column(0).to_numpy()
-                v = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                s = np.round(_scores(q, v, metric), 6)
-                key = -s if metric != "euclidean" else s
-                best = np.lexsort((np.broadcast_to(names, s.shape), key), axis=1)[:, :top]
-                n = best.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(names[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "vec_id", "score"])
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                best.take(every, part.column(0).to_numpy(), np.round(_scores(q, _matrix(part.column(1)), metric), 6))
+        yield best.rows(ids)
 
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double")
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return vectors.select("vec_id", "embedding").mapInArrow(run, FOUND)
 
 
 # inverted lists
@@ -117,17 +168,23 @@ def _assigned(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
     return vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, "vec_id bigint, embedding array<float>, cid int")
 
 
-def train_lists(vectors: DataFrame, lists: int = 16, rounds: int = 10) -> list[list[float]]:
-    """Centroids: cosine assignment, mean update, empty lists keep theirs; starts from the vectors of the least hashes."""
-    start = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(lists).collect()
-    if len(start) < lists:
+def train_lists(vectors: DataFrame, lists: int = 16, rounds: int = 10, sample: int = SAMPLE, order: Column | None = None) -> list[list[float]]:
+    """Centroids: cosine assignment, mean update, empty lists keep theirs.
+
+    Trained on the driver from at most `sample` vectors, the first by `order` (by default the least
+    hashes of vec_id); the first of them begin as centroids.
+    """
+    order = F.xxhash64("vec_id") if order is None else order
+    rows = vectors.select("vec_id", "embedding", order.alias("_order")).orderBy("_order", "vec_id").limit(sample).collect()
+    if len(rows) < lists:
         return []
-    centroids = [[float(x) for x in r["embedding"]] for r in start]
+    v = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    centroids = v[:lists].copy()
     for _ in range(rounds):
-        means = _assigned(vectors, centroids).select("cid", F.posexplode("embedding").alias("at", "x")).groupBy("cid", "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-        for r in means.collect():  # lists * dimension rows
-            centroids[r["cid"]][r["at"]] = r["mean"]
-    return centroids
+        cid = np.round(_scores(v, centroids, "cosine"), 12).argmax(axis=1)
+        for c in np.unique(cid):
+            centroids[c] = v[cid == c].mean(axis=0)
+    return centroids.tolist()
 
 
 def assign(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
@@ -136,45 +193,84 @@ def assign(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
 
 def search_lists(vectors: DataFrame, assigned: DataFrame, centroids: list[list[float]], query: list[float], top: int = 10, metric: str = "cosine", probe: int = 4) -> DataFrame:
     """Exact search within the lists whose centroids have the greatest cosine with the query."""
-    s = _scores(np.array([query], dtype=np.float64), np.array(centroids), "cosine")[0]
-    lists = [int(i) for i in np.argsort(-s, kind="stable")[:probe]]
+    lists = _nearest_lists(np.array([query], dtype=np.float64), centroids, probe)[0].tolist()
     return nearest(assigned.where(F.col("cid").isin(*lists)), query, top, metric)
 
 
+def _nearest_lists(q: np.ndarray, centroids: list[list[float]], probe: int) -> np.ndarray:
+    return np.argsort(-np.round(_scores(q, np.array(centroids), "cosine"), 12), axis=1, kind="stable")[:, :probe]
+
+
 def search_lists_many(queries: DataFrame, assigned: DataFrame, centroids: list[list[float]], top: int = 10, metric: str = "cosine", probe: int = 4) -> DataFrame:
     """search_lists for all queries (query_id, embedding) at once: (query_id, pos, vec_id, score)."""
     _metric(metric)
-    high = METRICS[metric][1]
-    rows = [(r[0], list(r[1])) for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()]
-    found = assigned.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double")
-    for i in range(0, len(rows) if centroids else 0, BLOCK):
-        found = found.unionByName(_block_of_lists(rows[i : i + BLOCK], assigned, centroids, top, metric, probe))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score") if high else F.asc("score"), "vec_id")
-    return found.withColumn("pos", F.row_number().over(order).cast("bigint")).where(F.col("pos") <= top).select("query_id", "pos", "vec_id", "score")
+    parts = [_block_of_lists(ids, q, assigned, centroids, top, metric, probe) for ids, q in _blocks(queries)] if centroids else []
+    return _best_of(parts, assigned.sparkSession, metric, top)
 
 
-def _block_of_lists(rows: list, assigned: DataFrame, centroids: list[list[float]], top: int, metric: str, probe: int) -> DataFrame:
-    ids, q = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
-    lists = np.argsort(-_scores(q, np.array(centroids), "cosine"), axis=1, kind="stable")[:, :probe]
+def _block_of_lists(ids: np.ndarray, q: np.ndarray, assigned: DataFrame, centroids: list[list[float]], top: int, metric: str, probe: int) -> DataFrame:
+    lists = _nearest_lists(q, centroids, probe)
+    asked = np.unique(lists).tolist()
     shared = assigned.sparkSession.sparkContext.broadcast((ids, q, [np.flatnonzero((lists == c).any(axis=1)) for c in range(len(centroids))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, askers = shared.value
+        best = Best(len(ids), top, metric)
         for batch in batches:
             cids = batch.column(2).to_numpy()
             for c in np.unique(cids):
-                who, here = askers[c], np.flatnonzero(cids == c)
-                for at in range(0, len(here) if len(who) else 0, 2048):
-                    part = batch.take(pa.array(here[at : at + 2048]))
-                    names = part.column(0).to_numpy()
-                    v = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                    s = np.round(_scores(q[who], v, metric), 6)
-                    key = -s if metric != "euclidean" else s
-                    best = np.lexsort((np.broadcast_to(names, s.shape), key), axis=1)[:, :top]
-                    n = best.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[who], n)), pa.array(names[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "vec_id", "score"])
-
-    return assigned.select("vec_id", "embedding", "cid").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+                here = np.flatnonzero(cids == c)
+                for at in range(0, len(here) if len(askers[c]) else 0, PART):
+                    part = batch.take(pa.array(here[at : at + PART]))
+                    best.take(askers[c], part.column(0).to_numpy(), np.round(_scores(q[askers[c]], _matrix(part.column(1)), metric), 6))
+        yield best.rows(ids)
+
+    return assigned.where(F.col("cid").isin(asked)).select("vec_id", "embedding", "cid").mapInArrow(run, FOUND)
+
+
+class ListIndex:
+    """Inverted lists in a folder: centroids, trained once, and the vectors in a directory a list.
+
+    Searches read the directories of the lists they probe. Vectors that come later are assigned to
+    the centroids there are; each insert is a version, and of a vec_id the last version counts.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+        rows = spark.read.parquet(f"{path}/centroids").collect()  # a row a list
+        self.centroids = [r["centroid"] for r in sorted(rows, key=lambda r: r["cid"])]
+
+    @classmethod
+    def build(cls, vectors: DataFrame, path: str, lists: int = 16, rounds: int = 10, sample: int = SAMPLE) -> ListIndex:
+        spark = vectors.sparkSession
+        centroids = train_lists(vectors, lists, rounds, sample)
+        spark.createDataFrame(list(enumerate(centroids)), "cid int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+        index = cls(spark, path)
+        index._write(vectors, 0)
+        return index
+
+    def _write(self, vectors: DataFrame, version: int) -> None:
+        rows = _assigned(vectors, self.centroids).withColumn("version", F.lit(version))
+        rows.repartition("cid", F.pmod(F.xxhash64("vec_id"), F.lit(16))).write.mode("append").partitionBy("version", "cid").parquet(f"{self.path}/vectors")
+
+    def vectors(self) -> DataFrame:
+        return self.spark.read.schema("vec_id bigint, embedding array<float>, version int, cid int").parquet(f"{self.path}/vectors")
+
+    def insert(self, vectors: DataFrame) -> None:
+        self._write(vectors, self.vectors().agg(F.max("version")).first()[0] + 1)
+
+    def _current(self) -> DataFrame:
+        rows = self.vectors()
+        if rows.agg(F.max("version")).first()[0] == 0:
+            return rows
+        last = rows.where("version > 0").groupBy("vec_id").agg(F.max("version").alias("_last"))
+        return rows.join(last, "vec_id", "left").where("_last IS NULL OR version = _last").drop("_last")
+
+    def search(self, query: list[float], top: int = 10, metric: str = "cosine", probe: int = 4) -> DataFrame:
+        return search_lists(self._current(), self._current(), self.centroids, query, top, metric, probe)
+
+    def search_many(self, queries: DataFrame, top: int = 10, metric: str = "cosine", probe: int = 4) -> DataFrame:
+        return search_lists_many(queries, self._current(), self.centroids, top, metric, probe)
 
 
 def column_of(metric: str, a: Column, b: Column) -> Column:

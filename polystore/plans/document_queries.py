@@ -76,11 +76,12 @@ def doc_update(spark, d):
     return docs_.project(docs_.merge(current(bodies, ["doc_id"], ["body"]), paid), {"type": "type", "k": "k", "purchase": "purchase"})
 
 
-@query(LOG + "SELECT user_id AS doc_id, arg_max(k, lsn) AS k FROM log WHERE user_id NOT IN (SELECT user_id FROM log WHERE value = 'signup') GROUP BY user_id")
+@query(LOG + "SELECT user_id AS doc_id, arg_max(k, lsn) AS k FROM log GROUP BY user_id HAVING arg_max(value, lsn) <> 'signup'")
 def doc_delete(spark, d):
-    log = event_log(spark, d)
-    rows = log.groupBy(F.col("user_id").alias("doc_id")).agg(F.max_by("k", "lsn").alias("k"))
-    return rows.join(log.where("value = 'signup'").select(F.col("user_id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    """A signup deletes the user's document; what comes later inserts it again."""
+    op = F.when(F.col("value") == "signup", "DEL").otherwise("SET")
+    rows = event_log(spark, d).select("lsn", F.col("user_id").alias("doc_id"), op.alias("op"), F.struct("k").alias("body"))
+    return docs_.project(current(rows, ["doc_id"], ["body"]), {"k": "k"})
 
 
 @query("SELECT event_type AS collection, count(*) AS n FROM events GROUP BY event_type")
@@ -145,15 +146,15 @@ def doc_contains_array(spark, d):
     return docs_.matches(_tagged(spark, d), {"tags": {"$contains": "signup"}}).select("doc_id")
 
 
-@query("SELECT p_partkey AS doc_id FROM part WHERE contains(p_name, 'a1')  OR contains(p_name, '7')")
+@query("SELECT p_partkey AS doc_id FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'd b')")
 def doc_contains_str(spark, d):
     parts = _parts(spark, d)
-    return docs_.matches(parts, {"name": {"$contains": "a1"}}).union(docs_.matches(parts, {"name": {"$contains": "7"}})).select("doc_id").distinct()
+    return docs_.matches(parts, {"name": {"$contains": "ring"}}).union(docs_.matches(parts, {"name": {"$contains": "d b"}})).select("doc_id").distinct()
 
 
-@query("SELECT p_partkey AS doc_id FROM part WHERE regexp_matches(p_name, '[0-4]+[13579]$')")
+@query("SELECT p_partkey AS doc_id FROM part WHERE regexp_matches(p_name, '^(red|small) .*[lt]t?$')")
 def doc_regex(spark, d):
-    return docs_.matches(_parts(spark, d), {"name": {"$regex": "[0-4]+[13579]$"}}).select("doc_id")
+    return docs_.matches(_parts(spark, d), {"name": {"$regex": "^(red|small) .*[lt]t?$"}}).select("doc_id")
 
 
 @query("SELECT p_partkey AS doc_id FROM part WHERE p_size * p_size % 7 = 2")

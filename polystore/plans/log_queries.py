@@ -88,10 +88,17 @@ def wal_purge(spark, d):
     return lg.purge(lg.frames(_log(spark, d), 1000), 3).groupBy("segment").agg(F.count("*").alias("n"))
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def _run(spark, d) -> DataFrame:
-    path = runs.scratch(spark, "orders")
-    runs.write_run(table(spark, d, "orders").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("o_totalprice")), "o_orderkey", path)
-    return runs.read_run(spark, path)
+    """The orders as a sorted run, written once a session."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _WRITTEN:
+        path = runs.scratch(spark, "orders")
+        runs.write_run(table(spark, d, "orders").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("o_totalprice")), "o_orderkey", path)
+        _WRITTEN[at] = path
+    return runs.read_run(spark, _WRITTEN[at])
 
 
 @query("SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice FROM orders")
@@ -152,7 +159,7 @@ def txn_read_your_writes(spark, d):
     return lg.overlay(lg.current(_log(spark, d)), mine)
 
 
-@query()
+@query("SELECT event_type AS conn, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n, 'SET ' || event_id || ' ' || event_type AS tokens FROM events")
 def resp_parse(spark, d):
     """Every event as a SET command, cut into chunks of seven bytes, and parsed again."""
     sent = table(spark, d, "events").select(
@@ -162,4 +169,4 @@ def resp_parse(spark, d):
     )
     cuts = F.sequence(F.lit(0), F.ceil(F.length("sent") / 7).cast("int") - 1)
     chunks = sent.select("conn", "event_id", "sent", F.explode(cuts).alias("i")).select("conn", (F.col("event_id") * 1000 + F.col("i")).alias("seq"), F.substring("sent", F.col("i") * 7 + 1, F.lit(7)).cast("binary").alias("chunk"))
-    return resp.parse(chunks)
+    return resp.parse(chunks).select("conn", "n", F.array_join("tokens", " ").alias("tokens"))

@@ -2,55 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
 class Incomplete(Exception):
-    """More bytes are needed."""
+    """More bytes are needed: so many in all, as far as is known."""
+
+    def __init__(self, needed: int):
+        self.needed = needed
+
+
+class ReplyError(Exception):
+    """An error reply, as a value."""
+
+
+def _number(digits: bytes) -> int | None:
+    try:
+        return int(digits)
+    except ValueError:
+        return None
+
+
+def _text(data: bytes) -> str | bytes:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data
 
 
 class Reader:
-    """Takes chunks, gives values; keeps what isn't complete."""
+    """Takes chunks, gives values; keeps what isn't complete, and looks at it again when enough is there.
+
+    Malformed input is a value, not a failure: a size that is no number gives None, an integer that
+    is none gives 0; negative sizes give None.
+    """
 
     def __init__(self) -> None:
-        self.held = b""
+        self.held, self.needed = bytearray(), 0
 
     def feed(self, chunk: bytes) -> list:
         self.held += chunk
-        out, at = [], 0
+        if len(self.held) < self.needed:
+            return []
+        out, at, self.needed = [], 0, 0
         while at < len(self.held):
             try:
                 value, at = self._value(at)
-            except Incomplete:
+            except Incomplete as e:
+                self.needed = e.needed - at
                 break
             out.append(value)
-        self.held = self.held[at:]
+        del self.held[:at]
         return out
 
     def _line(self, at: int) -> tuple[bytes, int]:
         end = self.held.find(b"\r\n", at)
         if end < 0:
-            raise Incomplete
-        return self.held[at:end], end + 2
+            raise Incomplete(len(self.held) + 1)
+        return bytes(self.held[at:end]), end + 2
 
     def _value(self, at: int):
         line, after = self._line(at)
         kind, rest = line[:1], line[1:]
-        if kind in (b"+", b"-"):
+        if kind == b"+":
             return rest.decode("utf-8", "replace"), after
+        if kind == b"-":
+            return ReplyError(rest.decode("utf-8", "replace")), after
         if kind == b":":
-            return int(rest), after
+            return _number(rest) or 0, after
         if kind == b"$":
-            size = int(rest)
-            if size < 0:
+            size = _number(rest)
+            if size is None or size < 0:
                 return None, after
             if len(self.held) < after + size + 2:
-                raise Incomplete
-            return self.held[after : after + size].decode("utf-8", "replace"), after + size + 2
+                raise Incomplete(after + size + 2)
+            return _text(bytes(self.held[after : after + size])), after + size + 2
         if kind == b"*":
+            size = _number(rest)
+            if size is None or size < 0:
+                return None, after
             items = []
-            for _ in range(max(0, int(rest))):
+            for _ in range(size):
                 item, after = self._value(after)
                 items.append(item)
             return items, after
@@ -61,6 +96,8 @@ def encode(value) -> bytes:
     """A reply: None, booleans, integers, texts, lists and dictionaries (flattened)."""
     if value is None:
         return b"$-1\r\n"
+    if isinstance(value, Exception):
+        return b"-%s\r\n" % str(value).encode()
     if isinstance(value, bool):
         return b":%d\r\n" % value
     if isinstance(value, int):
@@ -73,15 +110,30 @@ def encode(value) -> bytes:
     return b"$%d\r\n" % len(data) + data + b"\r\n"
 
 
-def parse(chunks: DataFrame) -> DataFrame:
-    """chunks (conn, seq, chunk) as commands (conn, n, tokens); a connection is read in order, batch by batch."""
+def _tokens(value) -> list[str | None]:
+    items = value if isinstance(value, list) else [value]
+    return [x if x is None else x.decode("utf-8", "replace") if isinstance(x, bytes) else str(x) for x in items]
 
-    def read(rows: pd.DataFrame) -> pd.DataFrame:
-        reader, out = Reader(), []
-        for chunk in rows.sort_values("seq")["chunk"]:
-            out += reader.feed(bytes(chunk))
-        conn = rows["conn"].iloc[0]
-        tokens = [[None if x is None else str(x) for x in (v if isinstance(v, list) else [v])] for v in out]
-        return pd.DataFrame({"conn": [conn] * len(out), "n": range(len(out)), "tokens": tokens})
 
-    return chunks.groupBy("conn").applyInPandas(read, "conn string, n long, tokens array<string>")
+def parse(chunks: DataFrame) -> DataFrame:
+    """chunks (conn, seq, chunk) as commands (conn, n, tokens).
+
+    A connection's bytes mean something only in their order, so one task reads it; the task streams:
+    it holds a batch of chunks and one unfinished value, whatever the connection's length.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        conn, reader, n = None, None, 0
+        for rows in batches:
+            out = []
+            for own, chunk in zip(rows["conn"], rows["chunk"], strict=True):
+                if reader is None or own != conn:
+                    conn, reader, n = own, Reader(), 0
+                for value in reader.feed(bytes(chunk)):
+                    out.append((own, n, _tokens(value)))
+                    n += 1
+            if out:
+                yield pd.DataFrame(out, columns=["conn", "n", "tokens"])
+
+    dealt = chunks.select("conn", "seq", "chunk").repartition("conn").sortWithinPartitions("conn", "seq")
+    return dealt.mapInPandas(read, "conn string, n long, tokens array<string>")

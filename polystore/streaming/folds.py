@@ -15,7 +15,8 @@ from polystore.sources.runs import scratch
 def stream_of(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """A folder (or file) of Parquet as a stream."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path + "*")  # a pattern, since the source takes no single file
+    one = f"{path[:-1]}[{path[-1]}]"  # a pattern, since the source takes no single file, which nothing else matches
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(one)
 
 
 def _run(out: DataFrame, mode: str, write) -> None:

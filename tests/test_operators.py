@@ -175,11 +175,22 @@ def test_shallow_merge(spark):
 # text
 
 
-@pytest.mark.parametrize(("word", "want"), [("connecting", "connect"), ("relational", "relate"), ("databases", "database"), ("caresses", "caress"), ("ponies", "poni"), ("agreed", "agree"), ("hopping", "hop"), ("happy", "happi"), ("sky", "sky"), ("at", "at"), ("conflated", "conflate"), ("adjustment", "adjust")])
+@pytest.mark.parametrize(("word", "want"), [("connecting", "connect"), ("relational", "relate"), ("databases", "database"), ("caresses", "caress"), ("ponies", "poni"), ("agreed", "agree"), ("hopping", "hop"), ("happy", "happi"), ("sky", "sky"), ("at", "at"), ("conflated", "conflate"), ("adjustment", "adjust"), ("seeing", "se"), ("freeing", "fre"), ("falling", "fall"), ("hissing", "hiss"), ("dies", "di"), ("feed", "feed"), ("nationalization", "national"), ("vietnamization", "vietnam")])
 def test_stems(word, want):
     assert stem(word) == want
 
 
+def test_snippets():
+    shown = fulltext.snippet_of
+    text = "one two three four five six seven eight relational databases"
+    assert shown(text, "relational") == text.replace("relational", "<b>relational</b>")  # the first window that holds it begins the text
+    long = "start " + "filler " * 40 + "alpha beta " + "filler " * 40
+    begin = next(i for i in range(len(long)) if long[i - 1] == " " and "alpha beta" in long[i : i + 160]) - 20  # 20 characters before the first window with both
+    assert shown(long, "alpha beta") == "..." + long[begin : begin + 160].strip().replace("alpha", "<b>alpha</b>").replace("beta", "<b>beta</b>") + "..."
+    assert shown("alpha " + long, "alpha beta", 400).count("<b>") == 3
+    assert shown("", "x") == "" and shown("short", "") == "short"
+
+
 def test_terms():
     assert terms_of("The Résumé ﬁne, don't") == ["re", "sume", "fine", "don"]
 
@@ -261,6 +272,10 @@ def test_bloom(spark):
 
 def test_protocol(spark):
     reader = resp.Reader()
+    assert reader.feed(b"$abc\r\n:x\r\n*-1\r\n$-1\r\n*?\r\n-ERR no\r\n")[:5] == [None, 0, None, None, None]
+    assert isinstance(resp.Reader().feed(b"-ERR no\r\n")[0], resp.ReplyError) and resp.Reader().feed(b"$2\r\n\xff\xfe\r\n") == [b"\xff\xfe"]
+    big = b"*2\r\n$3\r\nSET\r\n$50000\r\n" + b"x" * 50_000 + b"\r\n"
+    assert [v for i in range(0, len(big), 7) for v in reader.feed(big[i : i + 7])] == [["SET", "x" * 50_000]]
     assert reader.feed(b"*3\r\n$3\r\nSET\r\n$") == [] and reader.feed(b"3\r\nfoo\r\n$3\r\n") == []
     assert reader.feed(b"bar\r\n+OK\r\n:5\r\n$-1\r\nPING now\r\n") == [["SET", "foo", "bar"], "OK", 5, None, ["PING", "now"]]
     assert resp.encode({"a": 1}) == b"*2\r\n$1\r\na\r\n:1\r\n" and resp.encode(None) == b"$-1\r\n" and resp.encode(["x", True]) == b"*2\r\n$1\r\nx\r\n:1\r\n"
