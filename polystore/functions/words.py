@@ -103,6 +103,21 @@ def normal_words(text: str) -> list[str]:
     return re.findall(r"\w+", (text if text.isascii() else unicodedata.normalize("NFKD", text)).lower())
 
 
+class Terms:
+    """The terms of texts, in a worker; stems are kept, a bounded number of them."""
+
+    def __init__(self, stemming: bool):
+        self.stemming, self.stop, self.stems = stemming, frozenset(STOP_WORDS), {}
+
+    def of(self, text: str | None) -> list[str]:
+        words = [w for w in normal_words(text or "") if len(w) >= 2 and w not in self.stop]
+        if not self.stemming:
+            return words
+        if len(self.stems) > 200_000:
+            self.stems.clear()
+        return [self.stems.get(w) or self.stems.setdefault(w, stem(w)) for w in words]
+
+
 def terms_of(text: str, stemming: bool = False) -> list[str]:
     """The terms of a query text, on the driver."""
     words = [w for w in normal_words(text) if len(w) >= 2 and w not in STOP_WORDS]

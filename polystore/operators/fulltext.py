@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polystore.functions.words import is_term, raw_tokens, stemmed, terms_of
+from polystore.functions.words import Terms, is_term, raw_tokens, stemmed, terms_of
 
 K1, B = 1.5, 0.75
 
@@ -80,36 +82,42 @@ def query_terms(spark, texts: dict, stemming: bool = False) -> DataFrame:
     return spark.createDataFrame(rows, "query_id bigint, term string").groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def _counted(docs: DataFrame, asked: list[str], stemming: bool) -> DataFrame:
+    """(doc_id, length, tf) of documents with terms; tf counts each term asked for. One pass over the words of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(stemming)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [terms.of(t) for t in part.column(1).to_pylist()]
+                there = [k for k, words in enumerate(found) if words]
+                tf = [[found[k].count(t) for t in asked] for k in there]
+                columns = [part.column(0).take(pa.array(there, pa.int64())), pa.array([len(found[k]) for k in there], pa.int64()), pa.array(tf, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "length", "tf"])
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, length long, tf array<long>")
+
+
 def search(docs: DataFrame, query: str, top: int = 10, stemming: bool = False) -> DataFrame:
-    """(pos, doc_id, score) of one query over texts: one pass for the statistics, one for the scores, no shuffle of postings."""
+    """(pos, doc_id, score) of one query over texts: one pass for the statistics, one for the scores, no shuffle of postings.
+
+    For more than a query, build a TextIndex.
+    """
     asked = terms_of(query, stemming)
     distinct = list(dict.fromkeys(asked))
-    if stemming:  # the stems asked for, as the words of the vocabulary that have them
-        spark = docs.sparkSession
-        queries = query_terms(spark, {0: query}, True)
-        found = postings(docs, True)
-        return search_many(queries, found, lengths(docs), top).drop("query_id")
-    terms = F.filter(raw_tokens(F.col("text")), is_term)
-    counted = docs.select("doc_id", terms.alias("_terms"))
-    tf = [F.size(F.filter("_terms", _same(t))).alias(f"tf{i}") for i, t in enumerate(distinct)]
-    counted = counted.select("doc_id", F.size("_terms").alias("length"), *tf).where("length > 0")
-    told = counted.agg(F.count("*").alias("n"), F.sum("length").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))]).first()
+    counted = _counted(docs, distinct, stemming)
+    tf = [F.col("tf")[i] for i in range(len(distinct))]
+    told = counted.agg(F.count("*").alias("n"), F.sum("length").alias("total"), *[F.count_if(t > 0).alias(f"df{i}") for i, t in enumerate(tf)]).first()
     n, average = told["n"], (told["total"] or 0) / max(1, told["n"])
-    parts = [
-        F.lit(float(asked.count(t))) * F.when(F.col(f"tf{i}") > 0, _score(F.col(f"tf{i}"), F.lit(told[f"df{i}"]), F.col("length"), F.lit(n), F.lit(average or 1.0))).otherwise(0.0)
-        for i, t in enumerate(distinct)
-    ]
-    total = sum(parts[1:], parts[0]) if parts else F.lit(0.0)
-    hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(distinct))], F.lit(0), F.lit(0)) > 0
-    best = counted.where(hit).select("doc_id", F.round(total, 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(top)
+    total = F.lit(0.0)
+    for i, t in enumerate(distinct):
+        total = total + F.lit(float(asked.count(t))) * F.when(tf[i] > 0, _score(tf[i], F.lit(told[f"df{i}"]), F.col("length"), F.lit(n), F.lit(average or 1.0))).otherwise(0.0)
+    best = counted.where(F.exists("tf", lambda t: t > 0)).select("doc_id", F.round(total, 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(top)
     order = Window.orderBy(F.desc("score"), "doc_id")  # over the page only
     return best.select(F.row_number().over(order).cast("bigint").alias("pos"), "doc_id", "score")
 
 
-def _same(term: str):
-    return lambda t: t == F.lit(term)
-
-
 def snippet_of(text: str, query: str, length: int = 160) -> str:
     """The stretch of a text with most of the query's words, each in bold.
 

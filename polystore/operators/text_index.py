@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polystore.functions.words import STOP_WORDS, normal_words, stem, terms_of
+from polystore.functions.words import Terms, terms_of
 from polystore.operators.fulltext import B, K1
 
 POSTING = "doc_id bigint, term string, tf int, length int"
@@ -36,17 +36,13 @@ def _postings(docs: DataFrame, stemming: bool) -> DataFrame:
     """POSTING, counted within each row: a document is one row, so nothing is shuffled to count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stop, stems = frozenset(STOP_WORDS), {}
+        own = Terms(stemming)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 ids, terms, tfs, sizes = [], [], [], []
                 for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = [w for w in normal_words(text or "") if len(w) >= 2 and w not in stop]
-                    if stemming:
-                        if len(stems) > 200_000:
-                            stems.clear()
-                        words = [stems.get(w) or stems.setdefault(w, stem(w)) for w in words]
+                    words = own.of(text)
                     counted = Counter(words)
                     ids += [name] * len(counted)
                     terms += counted.keys()
