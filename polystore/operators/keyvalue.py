@@ -97,6 +97,20 @@ def hgetall(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("key").agg(F.map_from_entries(entries).alias("entries"))
 
 
+def hexists(hashes: DataFrame, field: str) -> DataFrame:
+    """(key, found) of every key."""
+    return hashes.groupBy("key").agg(F.bool_or(F.col("field") == field).alias("found"))
+
+
+def hlen(hashes: DataFrame) -> DataFrame:
+    return hashes.groupBy("key").agg(F.count_distinct("field").alias("length"))
+
+
+def hincrby(log: DataFrame) -> DataFrame:
+    """(key, field, amount) folded: amounts add up whatever their order, from 0 where the field was absent."""
+    return log.groupBy("key", "field").agg(F.sum("amount").alias("value"))
+
+
 def without(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     """hdel, srem, zrem and del: rows without those named."""
     return rows.join(gone.select(*on).distinct(), on, "left_anti")
@@ -162,6 +176,11 @@ def llen(lists: DataFrame) -> DataFrame:
 # sets
 
 
+def sadd(log: DataFrame) -> DataFrame:
+    """(key, member) folded: each member once."""
+    return log.select("key", "member").distinct()
+
+
 def union(sets: DataFrame, keys: list[str]) -> DataFrame:
     return sets.where(F.col("key").isin(*keys)).select("member").distinct()
 
@@ -183,6 +202,11 @@ def difference(sets: DataFrame, first: str, rest: list[str]) -> DataFrame:
 # sorted sets
 
 
+def zincrby(log: DataFrame) -> DataFrame:
+    """(key, member, amount) folded: amounts add up to scores, from 0 where the member was absent."""
+    return log.groupBy("key", "member").agg(F.sum("amount").alias("score"))
+
+
 def ranked(zsets: DataFrame) -> DataFrame:
     """zsets with rank, from 0, by score and then member, and n."""
     own = Window.partitionBy("key")

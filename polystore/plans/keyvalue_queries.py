@@ -160,17 +160,17 @@ def kv_hvals(spark, d):
 
 @query("SELECT user_id AS key, bool_or(event_type = 'signup') AS found FROM events GROUP BY user_id")
 def kv_hexists(spark, d):
-    return _hashes(spark, d).groupBy("key").agg(F.bool_or(F.col("field") == "signup").alias("found"))
+    return kv.hexists(_hashes(spark, d), "signup")
 
 
 @query(HASH + "SELECT key, count(*) AS length FROM h GROUP BY key")
 def kv_hlen(spark, d):
-    return _hash_log(spark, d).groupBy("key").agg(F.count_distinct("field").alias("length"))
+    return kv.hlen(_hash_log(spark, d))
 
 
 @query(LOG + "SELECT user_id AS key, value AS field, CAST(sum(k) AS BIGINT) AS value FROM log GROUP BY user_id, value")
 def kv_hincrby(spark, d):
-    return event_log(spark, d).groupBy(F.col("user_id").alias("key"), F.col("value").alias("field")).agg(F.sum("k").alias("value"))
+    return kv.hincrby(event_log(spark, d).select(F.col("user_id").alias("key"), F.col("value").alias("field"), F.col("k").alias("amount")))
 
 
 # lists: key = user; views are pushed left, the rest right
@@ -259,7 +259,7 @@ k AS (SELECT key, row_number() OVER (ORDER BY key) AS i FROM (SELECT DISTINCT ke
 
 @query(SETS + "SELECT key, member FROM s")
 def kv_sadd(spark, d):
-    return _sets(spark, d).distinct()
+    return kv.sadd(_sets(spark, d))
 
 
 @query(SETS + "SELECT key, member FROM s WHERE member % 3 <> 0")
@@ -332,7 +332,9 @@ def kv_zscore(spark, d):
 
 @query("SELECT p_brand AS key, l_partkey AS member, round(sum(l_quantity), 2) AS score FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand, l_partkey")
 def kv_zincrby(spark, d):
-    return _zsets(spark, d)
+    brands = table(spark, d, "part").select(F.col("p_partkey").alias("member"), F.col("p_brand").alias("key"))
+    sold = table(spark, d, "lineitem").select(F.col("l_partkey").alias("member"), F.col("l_quantity").alias("amount"))
+    return kv.zincrby(sold.join(brands, "member")).select("key", "member", F.round("score", 2).alias("score"))
 
 
 @query(ZSETS + "SELECT key, member, rank FROM r")
