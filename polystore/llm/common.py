@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -25,7 +27,10 @@ def use_checkpoints(spark: SparkSession) -> None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="polystore-ckpt-"))
+        if not named:
+            named = tempfile.mkdtemp(prefix="polystore-ckpt-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -73,8 +78,9 @@ def with_texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     texts without a partner stay where they are.
     """
     names = pairs.columns
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    hot = key_filter(ends.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key"))
     for side, other in (("a", "b"), ("b", "a")):
-        hot = key_filter(pairs.groupBy(F.col(side).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key"))
         pairs = may_be_in(pairs, F.col(side), hot, "_hot").withColumn(f"salt_{side}", F.when(F.col("_hot"), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
     pairs = cut(pairs)
     needed = cut(pairs.select(F.col("a").alias("hash"), F.col("salt_a").alias("salt")).union(pairs.select("b", "salt_b")).groupBy("hash").agg(F.collect_set("salt").alias("salts")))

@@ -1,8 +1,11 @@
 """Plain versions of the corpus operators, to hold results against."""
 
 import re
+import unicodedata
 from collections import Counter
 
+from polystore.llm import quality_rules  # for its lists of words alone
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, words string, p double, hash bigint, at int, n int, size int, place int, chunk int"
 
 
@@ -76,3 +79,49 @@ def components(items, linked):
 def repeat_words(w, k=8):
     seen = Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     return len({i + j for i in range(len(w) - k + 1) if seen[tuple(w[i : i + k])] > 1 for j in range(k)})
+
+
+def _is(kinds, c):
+    return unicodedata.category(c)[0] in kinds
+
+
+def bad_line(line):
+    """The rules of a line, in plain words."""
+    w = words(line)
+    visible = [c for c in line if c != " "]
+    letters = [c for c in visible if _is("L", c)]
+    marks = [c for c in visible if not _is("LN", c) and c not in "_ \t\n\v\f\r"]
+    gaps = line.count(" ") + 1
+    if len(letters) < 0.5 * len(visible):
+        return True
+    if len(visible) >= 20 and (len(marks) > 0.25 * len(visible) or line.count("|") > max(2, 0.15 * gaps)):
+        return True
+    if len(visible) >= 20 and len([r for r in re.findall(r"!+|[?]+", line) if len(r) > 1]) > 0.3 * gaps:
+        return True
+    strip = lambda x: x.strip(" \t\v\f\r\n")
+    entries = [strip(x) for x in re.split(r"[|»›>/·•-]|[ \t\n\v\f\r][ \t\n\v\f\r]+", strip(line))]
+    if entries[0].lower() in quality_rules.ENTRIES and all(len(x) <= 30 and all(_is("LN", c) or c in "_ \t" for c in x) for x in entries[1:]):
+        return True
+    if len(w) > 5 and sum(x == y for x, y in zip(w, w[1:])) > 0.5 * len(w):
+        return True
+    return any(p in line.lower() for p in quality_rules.PHRASES)
+
+
+def cleaned(text):
+    """The text without bad lines, or None if the rules reject it."""
+    w = words(text)
+    if len(w) < 20 or 100 * repeat_words(w) > 30 * len(w):
+        return None
+    lines = text.split("\n")
+    good = [x for x in lines if not words(x) or not bad_line(x)]
+    lost = len(w) - sum(len(words(x)) for x in good)
+    return "\n".join(good) if 100 * lost <= 50 * len(w) else None
+
+
+def alike(x, y, k=5):
+    """Whether the sets of k-word shingles have a Jaccard similarity of 0.8."""
+    sets = []
+    for t in (x, y):
+        w = [a.lower() if a.isascii() else "".join(c.lower() if c.isascii() else c for c in a) for a in words(t)]
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return sets[0] == sets[1] or 5 * len(sets[0] & sets[1]) >= 4 * len(sets[0] | sets[1])

@@ -6,14 +6,6 @@ from polystore.llm import simhash
 from tests.llm import brute
 
 
-def jaccard(x, y):
-    sets = []
-    for t in (x, y):
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    return sets[0] == sets[1] or len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
-
-
 def planted():
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
@@ -36,7 +28,7 @@ def planted():
 
 def test_near_copies_go(spark):
     rows = planted()
-    roots = brute.components([t for _, t in rows], jaccard)
+    roots = brute.components([t for _, t in rows], brute.alike)
     fps = [simhash.fingerprint(t, 5) for _, t in rows]
     far = [k for k, r in enumerate(roots) if r != k and (fps[k] ^ fps[r]).bit_count() > simhash.DISTANCE]
     assert len(far) > 50  # more than two bits away, and alike

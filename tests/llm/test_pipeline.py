@@ -7,17 +7,13 @@ from collections import Counter
 import public_tokenizers
 
 import corpus_pipeline
-from polystore.llm import mixing, quality_rules, queries, simhash
+from polystore.llm import queries
 from tests.llm import brute
 
 
 def plain_pipeline(rows):
     """(doc_id, text, source) after quality, lines and near-dedup."""
-    kept = []
-    for i, t, s in rows:
-        verdict = quality_rules.judge(t)
-        if verdict[6]:
-            kept.append((i, verdict[8], s))
+    kept = [(i, clean, s) for i, t, s in rows if (clean := brute.cleaned(t or "")) is not None]
     gone = brute.removed_lines(kept)
     left = []
     for i, t, s in kept:
@@ -26,11 +22,28 @@ def plain_pipeline(rows):
         if not cut or brute.words(text):
             left.append((i, text, s))
     left.sort()
-    fps = [simhash.fingerprint(t, 5) for _, t, _ in left]
-    roots = brute.components(fps, lambda x, y: (x ^ y).bit_count() <= 2)
+    roots = brute.components([t for _, t, _ in left], brute.alike)
     return [r for k, r in enumerate(left) if roots[k] == k]
 
 
+def plain_targets(rows):
+    """{source: (size, target)}: 150% of all words by the weights 5, 2, 1, at most twice a source's own."""
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(brute.words(t))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(size))}
+    target, left, open_ = {}, 1.5 * sum(size.values()), set(size)
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * size[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 2.0 * size[s] for s in over}
+        left, open_ = left - sum(2.0 * size[s] for s in over), open_ - over
+    return {s: (size[s], target[s]) for s in size}
+
+
 def test_pipeline(spark, small):
     import tiktoken
 
@@ -42,15 +55,21 @@ def test_pipeline(spark, small):
         assert at.columns == docs.columns, name
     assert sorted((r["doc_id"], r["text"], r["source"]) for r in at.collect()) == sorted(want)
     assert all(r["n_chars"] == len(r["text"]) for r in at.collect())
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(at).collect()}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    expected = Counter()
+    rows = {}
     for i, t, _ in want:
         ids = library.encode_ordinary(t)
-        expected[(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())] += copies[i]
-    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, small).collect())
-    assert got == +expected
+        rows[i] = (i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    result = corpus_pipeline.run(spark, small)
+    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in result.collect())
+    assert set(got) <= set(rows.values())
+    targets = plain_targets(want)
+    for source, (size, target) in targets.items():
+        own = [(i, len(brute.words(t))) for i, t, s in want if s == source]
+        ratio = target / size if size else 0
+        assert all(got[rows[i]] in (int(ratio), int(ratio) + 1, round(ratio)) for i, n in own)
+        assert abs(sum(got[rows[i]] * n for i, n in own) - target) <= max(n for _, n in own)
 
 
 def test_stages_on_hard_and_empty_tables(spark, small):
