@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import posixpath
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,7 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="polystore-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return posixpath.join(root, f"{name}-{uuid.uuid4().hex}")
 
 

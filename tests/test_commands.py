@@ -101,7 +101,7 @@ def test_random_steps_agree_with_a_dictionary(store):
     import random
 
     rng, plain = random.Random(12), Plain(store.now)
-    for step in range(140):
+    for step in range(90):
         key, x = rng.choice("kl"), rng.choice("xyz")
         kind = rng.choice(["set", "incr", "hset", "sadd", "zadd", "rpush", "lpop", "hdel", "expire", "wait", "del", "read"])
         if kind == "set":
