@@ -431,6 +431,39 @@ def test_passages_in_crowds(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == want
 
 
+def test_crowds_lose_no_link_between_components(spark):
+    """Groups share a long passage each round one phrase that all texts have, and windows of the phrase are classes of many texts."""
+    import random
+
+    rng = random.Random(21)
+    word = lambda: f"v{rng.randrange(10**7)}"
+    phrase = [word() for _ in range(42)]
+    rows, want = [], {}
+    for group in range(60):
+        before, after = [word() for _ in range(rng.randrange(13))], [word() for _ in range(12)]
+        members = [group + 60 * k for k in range(1 + group % 3)]
+        for i in members:
+            rows.append((i, " ".join([word() for _ in range(40)] + before + phrase + after + [word() for _ in range(40)])))
+            if len(members) > 1:
+                want[i] = group
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+
+
+def test_a_crowd_meets_whole():
+    """All rows of keys of three rows and more are told, wherever batches end, and all pairs of their blocks are compared."""
+    import pyarrow as pa
+
+    rows = sorted((k, 0 if k % 2 else j // 2, 0, 100 * k + j, 7) for k in range(9) for j in range(k))
+    rows = [r for r in rows for _ in range(2)]  # copies
+    key, after, before, text, place = (list(c) for c in zip(*rows, strict=True))
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((key, text, place, before, after, text), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=substring_dedup.NAMES)
+    for step in (1, 3, 1000):
+        batches = (whole.slice(k, step) for k in range(0, len(rows), step))
+        told = [(r["a"], r["b"]) for b in substring_dedup._meet(batches) for r in b.to_pylist() if r["crowd"]]
+        assert sorted(told) == sorted({(r[0], r[3]) for r in rows if r[0] >= 3})
+
+
 # lines
 
 
