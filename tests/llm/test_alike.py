@@ -34,3 +34,22 @@ def test_near_copies_go(spark):
     assert len(far) > 50  # more than two bits away, and alike
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots))
+
+
+def test_late_texts_of_a_crowd_meet(spark, monkeypatch):
+    """Pairs that come after the first of every key they share: each text takes from one base, and has more of its own."""
+    from polystore.llm import alike
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base, rows = [word() for _ in range(120)], []
+    for _ in range(60):
+        own = base + [word() for _ in range(60)]
+        for _ in range(2):  # alike to each other, at 120 / 240 to the others
+            rows.append((len(rows), " ".join([*own[:-1], word()])))
+    monkeypatch.setattr(alike, "ROUNDS", ((0, 0),))  # the rest is whole by itself
+    monkeypatch.setattr(alike, "_stars", lambda low, high: lambda batches: iter([]))
+    roots = brute.components([t for _, t in rows], brute.alike)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert len(set(roots)) == 60
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots))
