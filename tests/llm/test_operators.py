@@ -464,6 +464,34 @@ def test_a_crowd_meets_whole():
         assert sorted(told) == sorted({(r[0], r[3]) for r in rows if r[0] >= 3})
 
 
+def test_repeats_of_a_crowd_are_told_once():
+    """Texts that hold a key many times meet once, and their shingles are listed once, not for each place."""
+    import numpy as np
+    import pyarrow as pa
+
+    columns = {n: np.repeat(np.array([5, 6], dtype=np.int64), 300) for n in ("hash", "root")} | {n: np.zeros(600, dtype=np.int32) for n in ("before", "after", "place")} | {"key": np.full(600, 9)}
+    assert len(substring_dedup._compared(columns, *np.triu_indices(600, 1))[0]) == 1
+    text = " ".join(["and"] * 3000 + [f"w{k}" for k in range(300)])
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([list(range(2900))], pa.list_(pa.int32())), pa.array([text])], names=["hash", "places", "text"])
+    spots = [r for b in substring_dedup._spots(iter([batch])) for r in b.to_pylist()]
+    assert len(spots) == len({r["spot"] for r in spots}) == 6  # one of the repeats, and what begins up to 101 behind them
+
+
+def test_dense_stretches_against_all_stretches():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(0, 260))
+        there = np.repeat(rng.random(n // 3 + 1) < rng.choice([0.5, 0.8, 0.9, 0.95]), 3)[:n]
+        want = np.zeros(n, dtype=bool)
+        for first in range(n):
+            for end in range(first + 41, min(n, first + 101) + 1):
+                if (many := there[first:end].sum()) >= 41 and 5 * many >= 4 * (end - first):
+                    want[first:end] = True
+        assert (substring_dedup.dense(there)[there] == want[there]).all()
+
+
 # lines
 
 
