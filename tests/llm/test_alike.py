@@ -53,3 +53,24 @@ def test_late_texts_of_a_crowd_meet(spark, monkeypatch):
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert len(set(roots)) == 60
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots))
+
+
+def test_small_open_keys_list_no_shingles(spark, monkeypatch):
+    """Texts of open keys meet by their sets, a row a text and key; shingles are listed for keys of over a block alone, with the same links."""
+    from polystore.llm import alike
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base, rows, listed, listing = [word() for _ in range(120)], [], [], alike._with_partners
+    for _ in range(30):
+        own = base + [word() for _ in range(60)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join([*own[:-1], word()])))
+    monkeypatch.setattr(alike, "ROUNDS", ((0, 0),))
+    monkeypatch.setattr(alike, "_stars", lambda low, high: lambda batches: iter([]))
+    monkeypatch.setattr(alike, "_with_partners", lambda *x: listed.append(1) or listing(*x))
+    for block in (512, 20):
+        monkeypatch.setattr(alike, "BLOCK", block)
+        kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 60, 2))
+        assert bool(listed) == (block < 60)
