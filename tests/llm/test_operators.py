@@ -492,6 +492,48 @@ def test_dense_stretches_against_all_stretches():
         assert (substring_dedup.dense(there)[there] == want[there]).all()
 
 
+def test_texts_of_repeated_words_are_settled_by_their_shingles(monkeypatch):
+    """Texts that repeat each word 30 times share three of ten words: their stretches hold few shared shingles, so no chain is grown."""
+    import numpy as np
+
+    through = []
+    monkeypatch.setattr(substring_dedup, "_through", lambda *x, f=substring_dedup._through: through.append(1) or f(*x))
+    shared = ["the", "of", "and"]
+    a, b = (np.array(shingled([w for k in range(10) for w in [shared[k // 3] if k % 3 == 1 else f"{side}{k}"] * 30]), dtype=np.uint64) for side in "ab")
+    met = [(p, q) for p in range(0, len(a), 5) for q in range(0, len(b), 5) if a[p] == b[q]]
+    assert met and substring_dedup.passages(a, b, met) == [] and not through
+    # a word 80 times on both sides is a passage, wherever the other text has it
+    a, b = (np.array(shingled([w for k, n in parts for w in [k] * n]), dtype=np.uint64) for parts in ([("x", 30), ("the", 80), ("y", 30)], [("u", 60), ("the", 80), ("v", 30)]))
+    assert substring_dedup.passages(a, b, [(40, 75)])
+
+
+def test_places_that_alike_stretches_may_hold_against_all_stretches():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(25):
+        n = int(rng.integers(46, 130))
+        s = np.repeat(rng.integers(0, 12 if rng.random() < 0.5 else 200, n), rng.integers(1, rng.choice([2, 12, 60]), n))[:n].astype(np.uint64)
+        there = np.isin(s, rng.permutation(np.unique(s))[: int(rng.integers(0, len(np.unique(s)) + 1))])
+        may = substring_dedup._may(s, substring_dedup.in_order(s), there)
+        for first in range(n - 45):
+            for end in range(first + 46, n + 1):
+                both, all_ = len(np.unique(s[first:end][there[first:end]])), len(np.unique(s[first:end]))
+                if both >= 0.8 * all_:
+                    assert may[first:end].all()
+
+
+def test_a_text_of_many_pairs_is_cut_once(monkeypatch):
+    """Of 300 texts that meet each other in any order, each is cut into shingles once, and without shared shingles its windows aren't looked for."""
+    calls = []
+    monkeypatch.setattr(substring_dedup, "shingles", lambda t, f=substring_dedup.shingles: calls.append(t) or f(t))
+    monkeypatch.setattr(substring_dedup, "_windows", None)
+    texts = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(300)]
+    rows = [{"a": k, "b": (k + d) % 300, "keys": [1], "text_a": texts[k], "text_b": texts[(k + d) % 300]} for d in (1, 150) for k in range(300)]
+    assert substring_dedup._verifier(True)(rows) == []
+    assert len(calls) == 300
+
+
 # lines
 
 
