@@ -52,7 +52,6 @@ def nearest(vectors: DataFrame, query: list[float], top: int = 10, metric: str =
 
 BLOCK = 4096  # queries in a block
 PART = 2048  # vectors that meet a block at once
-SAMPLE = 20_000  # vectors that train lists, those of the least hashes
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -154,6 +153,11 @@ def _block(ids: np.ndarray, q: np.ndarray, vectors: DataFrame, top: int, metric:
 # inverted lists
 
 
+def _nearest_list(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The number of the centroid of the greatest cosine, by vector; the lowest on ties."""
+    return np.round(_scores(v, centroids, "cosine"), 12).argmax(axis=1)
+
+
 def _assigned(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
     """vectors with cid, the centroid of the greatest cosine; the lowest cid on ties."""
     shared = vectors.sparkSession.sparkContext.broadcast(np.array(centroids, dtype=np.float64))
@@ -161,29 +165,49 @@ def _assigned(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                cid = np.round(_scores(v, shared.value, "cosine"), 12).argmax(axis=1).astype(np.int32)
+                cid = _nearest_list(_matrix(batch.column(1)), shared.value).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cid)], names=["vec_id", "embedding", "cid"])
 
     return vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, "vec_id bigint, embedding array<float>, cid int")
 
 
-def train_lists(vectors: DataFrame, lists: int = 16, rounds: int = 10, sample: int = SAMPLE, order: Column | None = None) -> list[list[float]]:
+def _means(vectors: DataFrame, centroids: np.ndarray) -> dict[int, list[float]]:
+    """The mean of the vectors of each list that has any; a task keeps one sum a list, and they are added before they are collected."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(len(shared.value), dtype=np.int64), np.zeros(shared.value.shape)
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                v = _matrix(batch.column(0).slice(at, PART))
+                cid = _nearest_list(v, shared.value)
+                for c in np.unique(cid):
+                    own = v[cid == c]
+                    n[c] += len(own)
+                    total[c] += own.sum(axis=0)
+        there = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(n[there]), pa.array(total[there].tolist(), pa.list_(pa.float64()))], names=["cid", "n", "total"])
+
+    sums = vectors.select("embedding").mapInArrow(run, "cid int, n bigint, total array<double>")
+    sums = sums.select("cid", "n", F.posexplode("total").alias("at", "x")).groupBy("cid", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
+    rows = sums.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("mean")).collect()  # a row a list
+    return {r["cid"]: r["mean"] for r in rows}
+
+
+def train_lists(vectors: DataFrame, lists: int = 16, rounds: int = 10, order: Column | None = None) -> list[list[float]]:
     """Centroids: cosine assignment, mean update, empty lists keep theirs.
 
-    Trained on the driver from at most `sample` vectors, the first by `order` (by default the least
-    hashes of vec_id); the first of them begin as centroids.
+    Every round is a pass over all vectors. The first `lists` vectors by `order` (by default the
+    least hashes of vec_id) begin as centroids; the driver holds no more than these.
     """
     order = F.xxhash64("vec_id") if order is None else order
-    rows = vectors.select("vec_id", "embedding", order.alias("_order")).orderBy("_order", "vec_id").limit(sample).collect()
+    rows = vectors.select("vec_id", "embedding", order.alias("_order")).orderBy("_order", "vec_id").limit(lists).collect()
     if len(rows) < lists:
         return []
-    v = np.array([r["embedding"] for r in rows], dtype=np.float64)
-    centroids = v[:lists].copy()
+    centroids = np.array([r["embedding"] for r in rows], dtype=np.float64)
     for _ in range(rounds):
-        cid = np.round(_scores(v, centroids, "cosine"), 12).argmax(axis=1)
-        for c in np.unique(cid):
-            centroids[c] = v[cid == c].mean(axis=0)
+        for c, mean in _means(vectors, centroids).items():
+            centroids[c] = mean
     return centroids.tolist()
 
 
@@ -241,9 +265,9 @@ class ListIndex:
         self.centroids = [r["centroid"] for r in sorted(rows, key=lambda r: r["cid"])]
 
     @classmethod
-    def build(cls, vectors: DataFrame, path: str, lists: int = 16, rounds: int = 10, sample: int = SAMPLE) -> ListIndex:
+    def build(cls, vectors: DataFrame, path: str, lists: int = 16, rounds: int = 10) -> ListIndex:
         spark = vectors.sparkSession
-        centroids = train_lists(vectors, lists, rounds, sample)
+        centroids = train_lists(vectors, lists, rounds)
         spark.createDataFrame(list(enumerate(centroids)), "cid int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
         index = cls(spark, path)
         index._write(vectors, 0)

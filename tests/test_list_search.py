@@ -1,3 +1,6 @@
+import duckdb
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -27,3 +30,15 @@ def test_all_lists_are_exact_and_few_match_the_single_search(spark, small):
         one = {x["vec_id"] for x in vectors.search_lists(rows, assigned, centroids, [float(x) for x in r["embedding"]], 10, "cosine", 3).collect()}
         assert one == {v for q, v in found(vectors.search_lists_many(asked, assigned, centroids, 10, "cosine", 3)) if q == r["query_id"]}
     assert not found(vectors.search_lists_many(asked.limit(0), assigned, centroids))
+
+
+def test_lists_are_trained_on_all_vectors(spark, tmp_path):
+    """More vectors than 20,000, the later ones of another kind: all of them count, as in the SQL."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(24_000, 8)).round(2)
+    v[20_000:, 0] += 5
+    pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": list(v.astype(np.float32)), "label": 0}).to_parquet(tmp_path / "embeddings.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    for name in ("vec_ivf_assign", "vec_ivf_centroids"):
+        got = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(duckdb.sql(entry.oracle_sql()[name]).fetchall()), name
