@@ -792,3 +792,11 @@ def test_cleaned_documents_keep_columns(hard, empty):
     kept = quality_rules.clean_documents(hard)
     assert kept.columns == hard.columns and kept.count() > 0
     assert quality_rules.clean_documents(empty).columns == empty.columns
+
+
+def test_no_table_of_passages_goes_through_the_driver(spark, small):
+    """Broadcast are filters of a fixed size alone, not tables that are small for now."""
+    found = queries.queries()["op5_substring_dedup"](spark, small)
+    assert found.count() and found.collect()
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "HashJoin" in x or "MergeJoin" in x]
+    assert any("SortMergeJoin" in x for x in joins) and all("bucket" in x for x in joins if "BroadcastHashJoin" in x), joins
