@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -115,25 +116,56 @@ def _tokens(value) -> list[str | None]:
     return [x if x is None else x.decode("utf-8", "replace") if isinstance(x, bytes) else str(x) for x in items]
 
 
+BLOB = 4096  # bytes of a connection that go on together
+ROWS = 64  # of these, what a worker reads before it passes commands on
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conn, seq, chunk) in order, with the chunks of a connection that follow each other joined to some BLOB bytes."""
+    for batch in batches:
+        n, chunk = batch.num_rows, batch.column(2).cast(pa.binary())
+        if not n:
+            continue
+        if chunk.null_count:
+            raise ValueError("a chunk is null")
+        at = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + n + 1]
+        data = chunk.buffers()[2] or pa.py_buffer(b"")
+        number = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new = np.ones(n, dtype=bool)
+        new[1:] = number[1:] != number[:-1]
+        begin = at[np.maximum.accumulate(np.where(new, np.arange(n), 0))]  # where the connection begins, by row
+        blob = (at[:-1] - begin) // BLOB
+        new[1:] |= blob[1:] != blob[:-1]
+        first = np.flatnonzero(new)
+        ends = pa.py_buffer(np.append(at[first], at[-1]).astype(np.int32))
+        rows = pa.array(first)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.Array.from_buffers(pa.binary(), len(first), [None, ends, data])], names=["conn", "seq", "chunk"])
+
+
 def parse(chunks: DataFrame) -> DataFrame:
     """chunks (conn, seq, chunk) as commands (conn, n, tokens).
 
-    A connection's bytes mean something only in their order, so one task reads it; the task streams:
-    it holds a batch of chunks and one unfinished value, whatever the connection's length.
+    All tasks put chunks in order, by ranges, and join them. A connection's bytes mean something
+    only in their order, so one task reads what was joined; the task streams: it holds a batch
+    of it and one unfinished value, whatever the connection's length.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conn, reader, n = None, None, 0
-        for rows in batches:
-            out = []
-            for own, chunk in zip(rows["conn"], rows["chunk"], strict=True):
-                if reader is None or own != conn:
-                    conn, reader, n = own, Reader(), 0
-                for value in reader.feed(bytes(chunk)):
-                    out.append((own, n, _tokens(value)))
-                    n += 1
-            if out:
-                yield pd.DataFrame(out, columns=["conn", "n", "tokens"])
-
-    dealt = chunks.select("conn", "seq", "chunk").repartition("conn").sortWithinPartitions("conn", "seq")
-    return dealt.mapInPandas(read, "conn string, n long, tokens array<string>")
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                conns, numbers, tokens = [], [], []
+                for own, chunk in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if reader is None or own != conn:
+                        conn, reader, n = own, Reader(), 0
+                    for value in reader.feed(chunk):
+                        conns.append(own), numbers.append(n), tokens.append(_tokens(value))
+                        n += 1
+                if conns:
+                    yield pa.RecordBatch.from_arrays([pa.array(conns, pa.string()), pa.array(numbers, pa.int64()), pa.array(tokens, pa.list_(pa.string()))], names=["conn", "n", "tokens"])
+
+    sent = chunks.select("conn", "seq", "chunk")
+    partitions = max(8, sent.sparkSession.sparkContext.defaultParallelism, int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    joined = sent.repartitionByRange(partitions, "conn", "seq").sortWithinPartitions("conn", "seq").mapInArrow(_joined, sent.schema)
+    return joined.repartition(partitions, "conn").sortWithinPartitions("conn", "seq").mapInArrow(read, "conn string, n long, tokens array<string>")

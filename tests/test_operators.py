@@ -295,3 +295,15 @@ def test_filters_reach_the_scan(spark, small):
 
     plan = documents.matches(_events(spark, small), {"type": "purchase", "user_id": {"$lt": 50}})._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,purchase)" in plan and "LessThan(user_id,50)" in plan
+
+
+def test_resp_chunks_are_joined_before_they_are_read(spark, monkeypatch):
+    """A connection is ordered and joined by all tasks; the one that parses it gets few rows, of some BLOB bytes."""
+    fed = spark.sparkContext.accumulator(0)
+    feed = resp.Reader.feed
+    monkeypatch.setattr(resp.Reader, "feed", lambda self, chunk: (fed.add(1), feed(self, chunk))[1])
+    sent = {c: b"".join(resp.encode(["SET", f"{c}{i}", "x" * (i % 40)]) for i in range(600)) + resp.encode(["SET", "big", "y" * 9000]) for c in "ab"}
+    rows = [(c, at * 10 - 7, data[at : at + 7]) for c, data in sent.items() for at in range(0, len(data), 7)] + [("a", -100, b""), ("c", 3, b"PING\r\n")]
+    found = resp.parse(frame(spark, rows, "conn string, seq bigint, chunk binary").repartition(5)).collect()
+    assert sorted((r["conn"], r["n"], r["tokens"]) for r in found) == sorted([(c, i, ["SET", f"{c}{i}", "x" * (i % 40)]) for c in "ab" for i in range(600)] + [(c, 600, ["SET", "big", "y" * 9000]) for c in "ab"] + [("c", 0, ["PING"])])
+    assert fed.value < len(rows) / 50
