@@ -51,7 +51,8 @@ def nearest(vectors: DataFrame, query: list[float], top: int = 10, metric: str =
 
 
 BLOCK = 4096  # queries in a block
-PART = 2048  # vectors that meet a block at once
+PART = 2048  # vectors that meet a block at once, at most
+CELLS = 1 << 21  # scores that a task computes at once, 16 MB
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -127,10 +128,20 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
         return q @ v.T
     if metric == "cosine":
         size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-        return np.where(size == 0, 0.0, (q @ v.T) / np.where(size == 0, 1, size))
+        none = size == 0
+        size[none] = 1
+        out = q @ v.T
+        out /= size
+        out[none] = 0.0
+        return out
     return np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T))
 
 
+def _part(queries: int) -> int:
+    """How many vectors meet so many queries at once."""
+    return max(1, min(PART, CELLS // max(1, queries)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
 
@@ -140,10 +151,10 @@ def _block(ids: np.ndarray, q: np.ndarray, vectors: DataFrame, top: int, metric:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        best, every = Best(len(ids), top, metric), np.arange(len(ids))
+        best, every, step = Best(len(ids), top, metric), np.arange(len(ids)), _part(len(ids))
         for batch in batches:
-            for at in range(0, batch.num_rows, PART):
-                part = batch.slice(at, PART)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 best.take(every, part.column(0).to_numpy(), np.round(_scores(q, _matrix(part.column(1)), metric), 6))
         yield best.rows(ids)
 
@@ -244,8 +255,9 @@ def _block_of_lists(ids: np.ndarray, q: np.ndarray, assigned: DataFrame, centroi
             cids = batch.column(2).to_numpy()
             for c in np.unique(cids):
                 here = np.flatnonzero(cids == c)
-                for at in range(0, len(here) if len(askers[c]) else 0, PART):
-                    part = batch.take(pa.array(here[at : at + PART]))
+                step = _part(len(askers[c]))
+                for at in range(0, len(here) if len(askers[c]) else 0, step):
+                    part = batch.take(pa.array(here[at : at + step]))
                     best.take(askers[c], part.column(0).to_numpy(), np.round(_scores(q[askers[c]], _matrix(part.column(1)), metric), 6))
         yield best.rows(ids)
 

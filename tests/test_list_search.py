@@ -1,12 +1,21 @@
 import duckdb
 import numpy as np
 import pandas as pd
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from polystore.operators import vectors
 
 
+class Most(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
 def found(df):
     return {(r["query_id"], r["vec_id"]) for r in df.collect()}
 
@@ -42,3 +51,15 @@ def test_lists_are_trained_on_all_vectors(spark, tmp_path):
     for name in ("vec_ivf_assign", "vec_ivf_centroids"):
         got = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()))
         assert got == sorted(duckdb.sql(entry.oracle_sql()[name]).fetchall()), name
+
+
+def test_scores_held_at_once_are_bounded(spark, monkeypatch):
+    """A task's scores take no more memory for 4,096 queries than for few."""
+    most = spark.sparkContext.accumulator(0, Most())
+    scores = vectors._scores
+    monkeypatch.setattr(vectors, "_scores", lambda q, v, metric: (most.add(len(q) * len(v)), scores(q, v, metric))[1])
+    v = np.random.default_rng(4).normal(size=(4096, 4)).round(3)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>").coalesce(1)
+    best = vectors.nearest_many(rows.withColumnRenamed("vec_id", "query_id"), rows, 2).where("pos = 1").collect()
+    assert len(best) == 4096 and all(r["score"] == 1 for r in best)
+    assert 0 < most.value <= 1 << 21
