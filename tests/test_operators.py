@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from polystore.functions import words
 from polystore.functions.words import stem, terms_of
 from polystore.operators import bloom, documents, fulltext, keyvalue, log, vectors
 from polystore.sources import resp
@@ -307,3 +308,12 @@ def test_resp_chunks_are_joined_before_they_are_read(spark, monkeypatch):
     found = resp.parse(frame(spark, rows, "conn string, seq bigint, chunk binary").repartition(5)).collect()
     assert sorted((r["conn"], r["n"], r["tokens"]) for r in found) == sorted([(c, i, ["SET", f"{c}{i}", "x" * (i % 40)]) for c in "ab" for i in range(600)] + [(c, 600, ["SET", "big", "y" * 9000]) for c in "ab"] + [("c", 0, ["PING"])])
     assert fed.value < len(rows) / 50
+
+
+def test_texts_pass_python_once_and_only_if_they_need_it(spark):
+    docs = frame(spark, [(1, "Plain words here"), (2, "Caf\u00e9 ﬁne"), (3, None), (4, "")], "doc_id bigint, text string")
+    sizes = fulltext.lengths(docs)
+    assert got(sizes) == [(1, 2), (2, 2)]
+    assert got(docs.select("doc_id", words.raw_tokens(F.col("text")).alias("t")))[:2] == [(1, ["plain", "words", "here"]), (2, ["cafe", "fine"])]
+    plan = sizes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "octet_length" in plan, plan
